@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules in the order of registration.
-MODULES = ["p1"]
+MODULES = ["p1", "p3", "p5"]
 
 
 def collect(package: str, modules: list[str]) -> tuple[dict, dict]:
