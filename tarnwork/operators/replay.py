@@ -61,6 +61,7 @@ def _folder(keys: list[str], seq: list[str], cols: list[str]):
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
+            t = t.cast(pa.schema([pa.field(f.name, f.type) for f in t.schema]))  # flags come as not nullable, the carried row's are
             if carry is not None:
                 t = pa.concat_tables([carry, t])
             s = _fold_table(t.combine_chunks(), keys, seq, cols)
