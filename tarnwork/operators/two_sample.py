@@ -146,7 +146,9 @@ def load_tests(rows: DataFrame, load: str, system: str, bins: dict[str, tuple[Co
             frame[floats] = frame[floats].astype(object).where(frame[floats].notna(), None)
             yield frame
 
-    return pairs.mapInPandas(run_batch, schema)
+    # a row is a whole model: spread them by number, small as they are in bytes
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(parts, "load").mapInPandas(run_batch, schema)
 
 
 def exact_medians(values: DataFrame, tests: DataFrame, columns: list[str]) -> DataFrame:

@@ -21,10 +21,10 @@ class VersionedTable:
     def version(self) -> int | None:
         """The current version; None before the first commit."""
         jvm, fs = self._fs()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
         if not fs.exists(at):
             return None
-        return int(self.spark.read.text(f"{self.path}/_current").first()[0])
+        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
 
     def read(self, version: int | None = None) -> DataFrame:
         v = self.version() if version is None else version
@@ -38,7 +38,7 @@ class VersionedTable:
         w = df.write.mode("overwrite")
         (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.path}/v{v:08d}")
         jvm, fs = self._fs()
-        tmp, at = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}") for n in ("_next", "_current"))
+        tmp, at = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}") for n in ("NEXT", "CURRENT"))
         out = fs.create(tmp, True)
         out.write(str(v).encode())
         out.close()
