@@ -22,14 +22,14 @@ def rows(seed=1):
     return out + [(None, "s", 1, 1, 1)]
 
 
-def tested(spark, data):
+def prepared(spark, data):
     df = spark.createDataFrame(data, SCHEMA)
     return df, load_tests(df, "load", "sys", BINS(), F.pmod(F.xxhash64("x", "y"), F.lit(2)))
 
 
 def test_shift_is_found_by_the_column_that_moved(spark):
     data = rows()
-    df, t = tested(spark, data)
+    df, t = prepared(spark, data)
     got = {r.load: r for r in t.collect()}
     assert [got[i].prev for i in range(1, 7)] == [None, 1, 2, 3, 4, None]
     assert got[3].auc_only_x > 0.7 and got[3].auc_drop_y > 0.7 > 0.6 > got[3].auc_drop_x
@@ -41,8 +41,8 @@ def test_shift_is_found_by_the_column_that_moved(spark):
 
 
 def test_empty_table_and_all_null(spark):
-    assert tested(spark, [])[1].count() == 0
-    _, t = tested(spark, [(1, "s", None, None, 1), (2, "s", None, None, 1)])
+    assert prepared(spark, [])[1].count() == 0
+    _, t = prepared(spark, [(1, "s", None, None, 1), (2, "s", None, None, 1)])
     assert {r.load: (r.rows, r.n_x) for r in t.collect()} == {1: (1, 0), 2: (1, 0)}
 
 
