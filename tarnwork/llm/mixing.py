@@ -75,9 +75,11 @@ def mix_sources(
     caps = [-(-a * c // block_tokens) if c > 0 else 0 for a, (_, _, c) in zip(avail, want)]
     blocks = sainte_lague([w if a else 0.0 for (_, w, _), a in zip(want, avail)], total // block_tokens, caps)
     quotas = []
-    for (s, _, c), b in zip(want, blocks):
+    for (s, _, c), b, cap in zip(want, blocks, caps):
         own = [have.get((s, k), 0) for k in range(shards)]
-        for k, q in enumerate(sainte_lague([float(x) for x in own], b, [-(-x * c // block_tokens) for x in own])):
+        full = [-(-x * c // block_tokens) for x in own]
+        # a source at its cap gives all of every shard
+        for k, q in enumerate(full if b >= cap else sainte_lague([float(x) for x in own], b, full)):
             if q:
                 quotas.append((s, k, min(q * block_tokens, own[k] * c), own[k], c))
     spark = docs.sparkSession
