@@ -198,9 +198,9 @@ def learn(docs: DataFrame, rare: float = 2e-5) -> Knowledge:
     total = per.agg(F.sum("start"), F.sum(F.col("end") + F.col("inside") + F.col("open"))).first()
     starts = per.where((F.col("start") >= 3) & (F.col("start") >= rare * (total[0] or 0))).select("word")
     dots = F.col("end") + F.col("inside") + F.col("open")
-    # seen inside a sentence often, or never at an end and hardly ever without the stop
+    # seen inside a sentence often, or, being short, never at an end and hardly ever without the stop
     often = F.col("inside") >= F.lit(0.3) * dots
-    always = (dots >= 10) & (F.col("end") <= 0.01 * dots) & (F.col("bare") <= 0.05 * dots)
+    always = (F.length("word") <= 4) & (dots >= 10) & (F.col("end") <= 0.01 * dots) & (F.col("bare") <= 0.05 * dots)
     short = per.where((dots >= 3) & (dots >= rare * (total[1] or 0)) & (often | always) & (F.col("bare") <= 2 * dots)).select("word", (F.col("end") > 0.03 * dots).alias("ends"))
     return Knowledge(frozenset(r.word for r in starts.collect()), {r.word: r.ends for r in short.collect()})
 
@@ -235,7 +235,7 @@ class _Document:
         return w in self._names
 
     def abbreviation(self, w: str) -> bool | None:
-        """None: no abbreviation; else whether it can end a sentence."""
+        """None: no abbreviation; else whether it can end a sentence. What only the document calls one can, before a starter."""
         last = w.rsplit(".", 1)[-1]
         for x in (w, last) if last != w else (w,):
             if x in MAY_END:
@@ -244,7 +244,11 @@ class _Document:
                 return bool(self.know.abbreviations.get(x, False)) and x not in ("mr", "mrs", "ms", "dr", "prof", "no", "fig")
         if w in self.know.abbreviations:
             return self.know.abbreviations[w]
-        return True if len(w) <= 6 and w.isalpha() and self.inside(w) else None
+        return True if self.own(w) else None
+
+    def own(self, w: str) -> bool:
+        """Is ``w`` an abbreviation by this document alone?"""
+        return w not in MAY_END and w not in self.know.abbreviations and len(w) <= 6 and w.isalpha() and self.inside(w)
 
 
 def _before(t: str) -> str:
@@ -315,7 +319,7 @@ def _is_end(doc: _Document, t: str, term: str, stop: int, end: int, quoted: int
         return False
     if lower:
         return opens
-    if upper and not doc.german:
+    if upper and not doc.german and not doc.own(low):
         return known or not doc.name(word)
     return known or f.isdigit()
 

@@ -37,9 +37,7 @@ CASES = [
 @pytest.mark.parametrize("case", CASES)
 def test_units(case):
     want = [u.strip() for u in case.split("|")]
-    if case.startswith("ข้อมูล"):
-        want = ["ข้อมูลมาช้า", "สำเนาใช้เวลา 12 นาที รุ่น 1.3 เริ่มใช้งาน"]
-    text = case.replace("|", "") if not case.startswith("ข้อมูล") else "ข้อมูลมาช้า สำเนาใช้เวลา 12 นาที รุ่น 1.3 เริ่มใช้งาน"
+    text = case.replace("|", "")
     assert units(text) == want
 
 
@@ -51,25 +49,27 @@ def test_lines_lists_and_headings():
 
 def test_places_are_code_points_and_cover_all_visible_text():
     text = " \U0001f600 A b. \n\nC d\xa0\n"
-    assert [(a, b) for a, b in sentence_ends(text)] == [(1, 7), (11, 14)] or "".join(units(text)).replace(" ", "") == "\U0001f600Ab.Cd"
+    assert sentence_ends(text) == [(1, 7), (10, 13)]
     for case in CASES:
         text = case.replace("|", "")
         assert "".join("".join(units(text)).split()) == "".join(text.split())
 
 
 def test_unmatched_marks_and_nesting():
-    assert enclosed('He said "yes (no) and left. 5" (open') == [(8, 29)] or enclosed("a (b [c] d) e") == [(2, 10)]
+    assert enclosed('He said "yes (no) and left. 5" (open') == [(8, 29)]
+    assert enclosed("a (b [c] d) e") == [(2, 10)]
     assert enclosed("a) b ( c") == []
-    assert units("A ) b. The c ( d. The e") == ["A ) b.", "The c ( d.", "The e"]
+    assert units("One ) two. The three ( four. The five") == ["One ) two.", "The three ( four.", "The five"]
 
 
 def test_document_decides_on_its_own_words():
     # "Tkt." is no listed abbreviation; its stop before a small letter elsewhere in the document tells
-    assert units("The Tkt. is old. See Tkt. Five now.", Knowledge())[-1] != "Five now."
+    assert units("The Tkt. is old. See Tkt. Five now. Tkt. The end.") == ["The Tkt. is old.", "See Tkt. Five now.", "Tkt.", "The end."]
+    assert units("See Tkt. Five now.") == ["See Tkt.", "Five now."]
 
 
 def test_operator_on_dirty_tables(spark):
-    rows = [(1, "One. Two.", "x", 1), (2, None, "x", 1), (3, "", "x", 1), (4, " \n\t ", "x", 1), (5, "One. Two.", None, 1), (6, "No stop. " * 30000, "x", 1)]
+    rows = [(1, "One. Two.", "x", 1), (2, None, "x", 1), (3, "", "x", 1), (4, " \n\t ", "x", 1), (5, "One. Two.", None, 1), (6, "No sentence. " * 30000, "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, sentence string, sent_no int")
     got = split_sentences(df).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in got} == {1: 2, 5: 2, 6: 30000}
