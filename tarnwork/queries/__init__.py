@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules in the order of registration.
-MODULES = ["p1", "p2", "p3", "p4", "p5", "p6", "p7"]
+MODULES = ["p1", "p2", "p3", "p4", "p5", "p6", "p7", "reference"]
 
 
 def collect(package: str, modules: list[str]) -> tuple[dict, dict]:
