@@ -721,8 +721,11 @@ def _(spark, d):
     e = event_stream(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     w = streams.tumbling(e, "ts", "1 day", "0 seconds", ["event_type"], [F.count(F.lit(1)).alias("n")])
     at = f"{shared_dir(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
-    states = []
-    q = w.writeStream.outputMode("complete").foreachBatch(lambda b, i: (b.write.mode("overwrite").parquet(f"{at}/out"), states.append(i)) and None).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out")
+
+    q = w.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(w.schema).parquet(f"{at}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
