@@ -79,7 +79,7 @@ def normalise(df: DataFrame, score: str, keys: list[str] = (), name: str = "norm
     else:
         j = df.alias("a").crossJoin(F.broadcast(df.agg(lo, hi)))
     v = F.coalesce(F.try_divide(F.col("__hi") - F.col(score), F.col("__hi") - F.col("__lo")), F.when(F.col(score).isNotNull(), F.lit(0.0)))
-    return j.select("a.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)).alias(name))
+    return j.select("a.*", F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))).alias(name))
 
 
 def two_levels(df: DataFrame, anomaly: str, score: str) -> DataFrame:

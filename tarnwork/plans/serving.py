@@ -44,8 +44,11 @@ def _walk(spark: SparkSession, plan) -> tuple[set[str], set[str]]:
             e = exprs.pop()
             if e.getClass().getSimpleName() == "UnresolvedFunction" and e.nameParts().mkString(".").lower() in _FUNCTIONS:
                 raise UnsafeQueryError(f"function {e.nameParts().mkString('.')} is not served")
-            if hasattr(e, "plan") and "Subquery" in e.getClass().getSimpleName() or e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery"):
+            kind = e.getClass().getSimpleName()
+            if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
                 todo.append(e.plan())
+            elif "Subquery" in kind and kind != "InSubquery":
+                raise UnsafeQueryError(f"{kind} is not served")
             exprs += [e.children().apply(i) for i in range(e.children().size())]
     return tables, ctes
 
