@@ -75,20 +75,22 @@ def file_unions(records: DataFrame, files: DataFrame, system: str, file: str, ts
     """
     small = plan_bytes(files) <= BROADCAST_BYTES
     r = records.withColumnsRenamed({system: "system", file: "file", ts: "ts"}).join(F.broadcast(files) if small else files, ["system", "file", "ts"])
-    field = F.explode(F.col("v").cast("map<string,variant>"))
+    # each record gives its fields and one row without field, which counts the record
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value")))
+    field = F.inline(F.concat(F.map_entries(F.col("v").cast("map<string,variant>")), itself))
     schema, text = F.col("schema"), F.coalesce(F.try_variant_get("value", "$", "string"), F.to_json("value"))
     vals = r.select("system", "k", "file", "last", field.alias("field", "value")).withColumn("schema", F.schema_of_variant("value"))
-    vals = vals.select("system", "k", "file", "last", "field", json_type(schema).alias("type"), schema, text.alias("text")).where("type IS NOT NULL")
+    vals = vals.select("system", "k", "file", "last", "field", json_type(schema).alias("type"), schema, text.alias("text")).where("type IS NOT NULL OR field IS NULL")
     per = vals.groupBy("system", "k", "file", "last", "field", "type", _kind(F.col("type"), schema, F.col("text")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     by_type = per.groupBy("system", "k", "file", "last", "field", "type").agg(F.sum("n").alias("n"), F.collect_list(F.struct("kind", "n")).alias("kinds"))
     union = by_type.groupBy("system", "k", "file", "last", "field").agg(
         F.sum("n").alias("n"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("types"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("type").isNotNull(), F.struct("type", "n"))))).alias("types"),
         F.min(F.struct((-F.col("n")).alias("n"), F.col("type").alias("type")))["type"].alias("type"),
         F.flatten(F.collect_list("kinds")).alias("kinds"),
     )
-    size = r.groupBy("system", "k").agg(F.count(F.lit(1)).alias("records"))
-    return union.join(size, ["system", "k"])
+    in_file = F.max(F.when(F.col("field").isNull(), F.col("n"))).over(W.partitionBy("system", "k"))
+    return union.withColumn("records", in_file).where("field IS NOT NULL")
 
 
 def _likeness(a: Counter, b: Counter, fill_a: float, fill_b: float, name_a: str, name_b: str) -> float:
