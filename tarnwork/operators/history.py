@@ -24,10 +24,10 @@ def clean_versions(dim: DataFrame, key: str, cols: list[str]) -> DataFrame:
     entity only the last can be open. Rows without key or start are left out.
     """
     d = dim.where(F.col(key).isNotNull() & F.col("effective_start").isNotNull())
-    d = d.select(key, *(text(c).alias(c) for c in cols), day_int("effective_start").alias("s"), day_int("effective_end").alias("e")).distinct()
-    run = W.partitionBy(key).orderBy("s", F.col("e").asc_nulls_last(), *cols)
-    end = F.least("e", F.lead("s").over(run))
-    return d.select(key, *cols, F.col("s").alias("effective_start"), F.coalesce(end, F.lit(0)).alias("effective_end"))
+    d = d.select(key, *(text(c).alias(c) for c in cols), day_int("effective_start").alias("__s"), day_int("effective_end").alias("__e")).distinct()
+    run = W.partitionBy(key).orderBy("__s", F.col("__e").asc_nulls_last(), *cols)
+    end = F.least("__e", F.lead("__s").over(run))
+    return d.select(key, *cols, F.col("__s").alias("effective_start"), F.coalesce(end, F.lit(0)).alias("effective_end"))
 
 
 def build_chains(versions: DataFrame, snapshots: DataFrame, calendar: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -36,16 +36,16 @@ def build_chains(versions: DataFrame, snapshots: DataFrame, calendar: DataFrame,
     ``snapshots`` are clean (one row per key and snapshot_dt), ``calendar`` is their ``delivery_calendar``. Equal values in
     consecutive deliveries are one version; it ends with the first delivery that differs or lacks the entity.
     """
-    cal = calendar.select("snapshot_dt", "k", "next")
-    states = snapshots.join(F.broadcast(cal), "snapshot_dt").select(key, *cols, "k", F.col("snapshot_dt").alias("start"), "next")
-    first = calendar.agg(F.min("snapshot_dt").alias("next"))
-    opened = versions.where("effective_end = 0").crossJoin(F.broadcast(first)).select(key, *cols, F.lit(0).alias("k"), F.col("effective_start").alias("start"), "next")
-    run = W.partitionBy(key).orderBy("k")  # at most one row per entity and delivery
+    cal = calendar.select("snapshot_dt", F.col("k").alias("__k"), F.col("next").alias("__next"))
+    states = snapshots.select("snapshot_dt", key, *cols).join(F.broadcast(cal), "snapshot_dt").select(key, *cols, "__k", F.col("snapshot_dt").alias("__start"), "__next")
+    first = calendar.agg(F.min("snapshot_dt").alias("__next"))
+    opened = versions.where("effective_end = 0").crossJoin(F.broadcast(first)).select(key, *cols, F.lit(0).alias("__k"), F.col("effective_start").alias("__start"), "__next")
+    run = W.partitionBy(key).orderBy("__k")  # at most one row per entity and delivery
     val = F.struct(*cols)
-    same = (F.lag("k").over(run) == F.col("k") - 1) & F.lag(val).over(run).eqNullSafe(val)
+    same = (F.lag("__k").over(run) == F.col("__k") - 1) & F.lag(val).over(run).eqNullSafe(val)
     marked = states.unionByName(opened).withColumn("__new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
     runs = marked.withColumn("__run", F.sum("__new").over(run.rowsBetween(W.unboundedPreceding, 0)))
-    built = runs.groupBy(key, "__run", *cols).agg(F.min_by("start", "k").alias("effective_start"), F.coalesce(F.max_by("next", "k"), F.lit(0)).alias("effective_end"))
+    built = runs.groupBy(key, "__run", *cols).agg(F.min_by("__start", "__k").alias("effective_start"), F.coalesce(F.max_by("__next", "__k"), F.lit(0)).alias("effective_end"))
     return versions.where("effective_end <> 0").unionByName(built.select(key, *cols, *HISTORY))
 
 
