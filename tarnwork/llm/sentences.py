@@ -52,6 +52,7 @@ _NAMED = re.compile(r"\w_\w|\w\.[a-z_]\w")
 _HIDDEN = dict.fromkeys(map(ord, _INVISIBLE))
 _LINE = re.compile(r"[^\n\r  ]*(?:\r\n|[\n\r  ]|\Z)")
 _ITEM = re.compile(r"[ \t]*(?:(?P<bullet>[-*•])|(?P<num>\d{1,3})[.)]|\[\d{1,2}:\d{2}(?::\d{2})?\]|(?P<head>#{1,6}))[ \t]+")
+_DATED = re.compile("|".join(["Quartal", *sorted(GERMAN_MONTHS)]))
 _THAI = re.compile(r"(?<=[ก-ฺเ-๎])[ \t\xa0]+(?=[ก-ฺเ-๎])")
 #: A letter with its marks: vowel signs and accents are not letters to ``re``.
 _L = "(?:[^\\W\\d_][\u0300-\u036f\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e]*)"
@@ -81,8 +82,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
         if mark and mark["num"]:
             # in running text a line can begin with a number and a stop by chance
             n = int(mark["num"])
-            fresh = start is None or item or text[start:end].rstrip(_TRIM)[-1:] in TERM + ":"
-            mark = mark if (fresh and (n == 1 or start is None or last_num == n - 1)) or last_num == n - 1 else None
+            mark = mark if last_num == n - 1 or start is None or (n == 1 and not _DATED.match(line, mark.end())) else None
         if mark:
             if start is not None:
                 yield start, end, item
@@ -211,7 +211,8 @@ class _Document:
     def __init__(self, text: str, know: Knowledge):
         self.text, self.know = text, know
         self._words: set[str] | None = None
-        self._inside: set[str] | None = None
+        self._inside: dict[str, bool] = {}
+        self._low = text.lower()
         self._names: set[str] | None = None
 
     @property
@@ -222,11 +223,29 @@ class _Document:
 
     def inside(self, w: str) -> bool:
         """Does the stop of ``w`` stand inside a sentence somewhere here, and ``w`` never without it?"""
-        if self._inside is None:
-            seen: Counter = Counter()
-            observe(self.text, seen)
-            self._inside = {x for k, x in seen if k == "inside" and not seen["bare", x]}
-        return w in self._inside
+        got = self._inside.get(w)
+        if got is None:
+            got = self._inside[w] = self._look(w)
+        return got
+
+    def _look(self, w: str) -> bool:
+        low, text, n = self._low, self.text, len(self.text)
+        if len(low) != n:
+            return False  # small letters of other length: places differ
+        found, i = False, low.find(w)
+        while i >= 0:
+            j = i + len(w)
+            if not (i and (low[i - 1].isalnum() or low[i - 1] in "_.")):
+                if low[j : j + 1] == ".":
+                    k = j + 1
+                    while k < n and text[k].isspace():
+                        k += 1
+                    if k < n and (text[k] in ",;:" or (k > j + 1 and text[k].islower() and not _NAMED.search(text[k : k + 40].split(None, 1)[0]))):
+                        found = True
+                elif not (low[j : j + 1].isalnum() or low[j : j + 1] == "_"):
+                    return False
+            i = low.find(w, j)
+        return found
 
     def name(self, w: str) -> bool:
         """Does ``w`` stand here capitalised in the middle of a sentence?"""
