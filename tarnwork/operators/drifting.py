@@ -48,21 +48,26 @@ def first_deliveries(df: DataFrame, system: str, file: str, ts: str) -> DataFram
     return first.select("*", k.alias("k"), (k == F.count(F.lit(1)).over(W.partitionBy("system"))).alias("last"))
 
 
-def _kind(type_: Column, schema: Column, text: Column) -> Column:
+def _number(type_: Column, text: Column) -> Column:
+    """The value as DOUBLE. A failing cast costs an exception, so only what looks like a number is cast."""
+    return F.when((type_ == "number") | ((type_ == "string") & text.rlike(r"^[-+]?[0-9.]+([eE][-+]?[0-9]+)?\z")), text.try_cast("double"))
+
+
+def _kind(type_: Column, schema: Column, text: Column, num: Column) -> Column:
     """What a value is like, coarse and fine, with a tab between: the same content gives the same distribution of these."""
     date = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|20[0-9]{2}[01][0-9][0-3][0-9])([T ][0-9:.Z+]*)?\z"
-    num = text.try_cast("double")
-    decimals = F.length(F.regexp_extract(text, r"\.([0-9]+)\z", 1))
+    decimals = F.when(text.contains("."), F.length(F.substring_index(text, ".", -1))).otherwise(0)
     whole = num == F.floor(num)
     size = F.when(whole & (F.abs(num) < 100), num.cast("int").cast("string")).otherwise(F.concat(F.lit("m"), F.floor(F.log2(F.abs(num) + 1)).cast("string")))
     number = F.concat(F.when(whole & (F.abs(num) < 100), "few").when(whole, "int").otherwise("dec"), F.lit("\t"), F.when(whole, "0").otherwise(F.greatest(decimals, F.lit(2)).cast("string")), F.lit(":"), size)
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}", "A"), r"\p{Ll}+", "a"), r"[0-9]", "9")
+    masked = F.mask(text, F.lit("A"), F.lit("a"), F.lit("9"))
+    shape = F.when(masked.contains("aa"), F.regexp_replace(masked, "a+", "a")).otherwise(masked)
     words = F.when(F.length(text) > 40, F.concat(F.lit("long\t"), F.floor(F.log2(F.length(text))).cast("string"))).otherwise(F.concat(F.when(text.contains(" "), "words").otherwise("code"), F.lit("\t"), shape))
     return (
         F.when(type_ == "boolean", F.concat(F.lit("boolean\t"), text))
         .when(type_ == "object", F.concat(F.lit("object\t"), F.regexp_replace(schema, r": (?:BIGINT|DOUBLE|DECIMAL\([0-9,]+\)|STRING|BOOLEAN|VOID)", "")))
         .when(type_ == "array", F.concat(F.lit("array\t"), F.when(F.length(text) > 40, "long").otherwise(F.regexp_replace(F.regexp_replace(text, "[0-9]", "9"), r"\p{L}+", "a"))))
-        .when(text.rlike(date), "date\td")
+        .when((type_ != "number") & F.octet_length(text).between(8, 40) & text.rlike(date), "date\td")
         .when(num.isNotNull() & ~F.isnan(num), number)
         .otherwise(words)
     )
@@ -74,23 +79,30 @@ def file_unions(records: DataFrame, files: DataFrame, system: str, file: str, ts
     ``types`` maps JSON type -> count; ``type`` is the most frequent (ties: first by name). Only the first delivery counts.
     """
     small = plan_bytes(files) <= BROADCAST_BYTES
-    r = records.withColumnsRenamed({system: "system", file: "file", ts: "ts"}).join(F.broadcast(files) if small else files, ["system", "file", "ts"])
+    r = records.select(F.col(system).alias("system"), F.col(file).alias("file"), F.col(ts).alias("ts"), "v")
+    r = r.join(F.broadcast(files) if small else files, ["system", "file", "ts"])
     # each record gives its fields and one row without field, which counts the record
     itself = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value")))
     field = F.inline(F.concat(F.map_entries(F.col("v").cast("map<string,variant>")), itself))
     schema, text = F.col("schema"), F.coalesce(F.try_variant_get("value", "$", "string"), F.to_json("value"))
-    vals = r.select("system", "k", "file", "last", field.alias("field", "value")).withColumn("schema", F.schema_of_variant("value"))
-    vals = vals.select("system", "k", "file", "last", "field", json_type(schema).alias("type"), schema, text.alias("text")).where("type IS NOT NULL OR field IS NULL")
-    per = vals.groupBy("system", "k", "file", "last", "field", "type", _kind(F.col("type"), schema, F.col("text")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    by_type = per.groupBy("system", "k", "file", "last", "field", "type").agg(F.sum("n").alias("n"), F.collect_list(F.struct("kind", "n")).alias("kinds"))
-    union = by_type.groupBy("system", "k", "file", "last", "field").agg(
-        F.sum("n").alias("n"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("type").isNotNull(), F.struct("type", "n"))))).alias("types"),
-        F.min(F.struct((-F.col("n")).alias("n"), F.col("type").alias("type")))["type"].alias("type"),
-        F.flatten(F.collect_list("kinds")).alias("kinds"),
+    vals = r.select("system", "k", field.alias("field", "value")).withColumn("schema", F.schema_of_variant("value"))
+    vals = vals.select("system", "k", "field", json_type(schema).alias("type"), schema, text.alias("text"))
+    vals = vals.withColumn("num", _number(F.col("type"), F.col("text")))  # on its own: the kind looks at it often
+    per = vals.groupBy("system", "k", "field", "type", _kind(F.col("type"), schema, F.col("text"), F.col("num")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    by_type = per.groupBy("system", "k", "field", "type").agg(F.sum("n").alias("n"), F.collect_list(F.struct("kind", "n")).alias("kinds"))
+    # JSON nulls have no type and count only where the record itself is counted; a filter on the type before this point
+    # would be pushed down to the values and type them once more
+    typed = lambda c: F.when(F.col("type").isNotNull(), c)
+    union = by_type.groupBy("system", "k", "field").agg(
+        F.sum(typed(F.col("n"))).alias("n"),
+        F.sum("n").alias("__rows"),
+        F.map_from_entries(F.sort_array(F.collect_list(typed(F.struct("type", "n"))))).alias("types"),
+        F.min(typed(F.struct((-F.col("n")).alias("n"), F.col("type").alias("type"))))["type"].alias("type"),
+        F.flatten(F.collect_list(typed(F.col("kinds")))).alias("kinds"),
     )
-    in_file = F.max(F.when(F.col("field").isNull(), F.col("n"))).over(W.partitionBy("system", "k"))
-    return union.withColumn("records", in_file).where("field IS NOT NULL")
+    in_file = F.max(F.when(F.col("field").isNull(), F.col("__rows"))).over(W.partitionBy("system", "k"))
+    union = union.withColumn("records", in_file).where("field IS NOT NULL AND n > 0").drop("__rows")
+    return union.join(files.select("system", "k", "file", "last"), ["system", "k"])
 
 
 def _likeness(a: Counter, b: Counter, fill_a: float, fill_b: float, name_a: str, name_b: str) -> float:
