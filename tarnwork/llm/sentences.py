@@ -153,8 +153,8 @@ _DOTTED = re.compile(f"(?<![\\w.])({_L}{{1,6}})\\.(?=(\\s*)(\\S?)(\\S*))")
 _SHORT = re.compile(f"(?<![\\w.]){_L}{{1,6}}(?![\\w.])")
 
 
-def observe(text: str, seen: Counter) -> None:
-    """Count the unambiguous occurrences of one text: (kind, word)."""
+def observe(text: str, seen: Counter, bare: Counter) -> None:
+    """Count the unambiguous occurrences of one text, (kind, word), and its short words that have no stop behind them."""
     for s, e, item in blocks(text):
         t = text[s:e].rstrip(_TRIM)
         i = len(t) - len(t.lstrip(_TRIM))
@@ -175,8 +175,7 @@ def observe(text: str, seen: Counter) -> None:
                 seen["inside", w] += 1
             elif gap:
                 seen["open", w] += 1
-        for m in _SHORT.finditer(t):
-            seen["bare", m[0].lower()] += 1
+        bare.update(_SHORT.findall(t.lower()))
 
 
 def learn(docs: DataFrame, rare: float = 2e-5) -> Knowledge:
@@ -184,14 +183,20 @@ def learn(docs: DataFrame, rare: float = 2e-5) -> Knowledge:
     at most 1 / ``rare`` of them, and abbreviations by the same rule, whatever the size of the corpus."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        seen, bare = Counter(), Counter()
+
+        def flush() -> pd.DataFrame:
+            rows = [(*k, n) for k, n in seen.items()] + [("bare", w, n) for w, n in bare.items()]
+            seen.clear()
+            bare.clear()
+            return pd.DataFrame(rows, columns=["kind", "word", "n"])
+
         for pdf in batches:
             for t in pdf["text"]:
-                observe(t, seen)
-            if len(seen) > 200_000:
-                yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", "word", "n"])
-                seen.clear()
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", "word", "n"])
+                observe(t, seen, bare)
+            if len(seen) + len(bare) > 200_000:
+                yield flush()
+        yield flush()
 
     per = docs.select("text").where("text IS NOT NULL").mapInPandas(count, "kind string, word string, n long").groupBy("word").pivot("kind", ["start", "end", "inside", "open", "bare"]).agg(F.sum("n")).na.fill(0)
     per = cut(per, "words")
@@ -322,7 +327,8 @@ def _is_end(doc: _Document, t: str, term: str, stop: int, end: int, quoted: int
         return opens if upper or lower or f.isdigit() else known
     if term != ".":
         return opens or "…" not in term and ".." not in term
-    w = _before(t[max(unit, stop - 40) : stop].translate(_HIDDEN))
+    near = t[max(unit, stop - 40) : stop]
+    w = _before(near if near.isascii() else near.translate(_HIDDEN))
     if re.fullmatch(r"\d{1,2}", w) and not lower and (word in GERMAN_MONTHS or doc.german):
         return not f.isalpha() or (word not in GERMAN_MONTHS and known)
     low = w.lower()
