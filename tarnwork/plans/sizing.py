@@ -22,9 +22,10 @@ class Worker:
     price_hour: float
 
 
+# Capacities and prices of the two kinds of worker.
 STANDARD = Worker("standard", 4, 16, 6.0, 3.0, 1.5, 0.44)
 LARGE = Worker("large", 4, 30.5, 14.0, 7.0, 3.5, 0.40)
-#: GB a worker gets through in a minute.
+#: GB a worker gets through in a minute.
 THROUGHPUT = {"simple": 2.0, "moderate": 1.0, "complex": 0.5, "extreme": 0.25}
 MIN_WORKERS, MAX_WORKERS = 2, 200
 
