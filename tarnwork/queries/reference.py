@@ -353,10 +353,10 @@ def _(spark, d):
 
 @query("a7_key_statistics", """
     WITH p AS (SELECT site_code, count(*) AS n FROM sales_mart GROUP BY 1)
-    SELECT CAST(count(*) AS BIGINT) AS keys, avg(n) AS avg_rows, stddev_samp(n) AS std_rows, CAST(min(n) AS BIGINT) AS min_rows, CAST(max(n) AS BIGINT) AS max_rows,
-           CAST(quantile_disc(n, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(n, 0.9) AS DOUBLE) AS p90, CAST(quantile_disc(n, 0.95) AS DOUBLE) AS p95, CAST(quantile_disc(n, 0.99) AS DOUBLE) AS p99, stddev_samp(n) / avg(n) AS cv FROM p""")
+    SELECT CAST(count(*) AS BIGINT) AS keys, avg(n) AS avg_rows, round(stddev_samp(n), 8) AS std_rows, CAST(min(n) AS BIGINT) AS min_rows, CAST(max(n) AS BIGINT) AS max_rows,
+           CAST(quantile_disc(n, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(n, 0.9) AS DOUBLE) AS p90, CAST(quantile_disc(n, 0.95) AS DOUBLE) AS p95, CAST(quantile_disc(n, 0.99) AS DOUBLE) AS p99, round(stddev_samp(n) / avg(n), 8) AS cv FROM p""")
 def _(spark, d):
-    return table_profile.key_statistics(table(spark, d, "sales_mart"), ["site_code"])
+    return table_profile.key_statistics(table(spark, d, "sales_mart"), ["site_code"]).withColumns({c: F.round(c, 8) for c in ("std_rows", "cv")})
 
 
 @query("a8_duplicates", "WITH p AS (SELECT count(*) AS n FROM sales_mart GROUP BY site_code, product, data_dt) SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS distinct_keys, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM p")
@@ -459,8 +459,8 @@ def _(spark, d):
 
 
 @query("w9_z_scores", """
-    SELECT event_id, round((value - avg(value) OVER w) / greatest(coalesce(stddev_samp(value) OVER w, 0), 1e-6), 4) AS z_score
-    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS 6 PRECEDING)""")
+    WITH z AS (SELECT event_id, round((value - avg(value) OVER w) / greatest(coalesce(stddev_samp(value) OVER w, 0), 1e-6), 4) AS z FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS 6 PRECEDING))
+    SELECT event_id, CASE WHEN z = 0 THEN 0::DOUBLE ELSE z END AS z_score FROM z""")
 def _(spark, d):
     z = features.z_scores(table(spark, d, "events").select("event_id", "event_type", "ts", "value"), ["event_type"], ["ts", "event_id"], "value")
     return z.select("event_id", F.round("z_score", 4).alias("z_score"))
@@ -578,7 +578,9 @@ def _(spark, d):
 
 @query("x8_calendar", """
     SELECT o_orderkey, CAST(dayofweek(o_orderdate) + 1 AS INTEGER) AS day_of_week, CAST(day(o_orderdate) AS INTEGER) AS day_of_month, CAST(month(o_orderdate) AS INTEGER) AS month,
-           CAST(dayofweek(o_orderdate) IN (0, 6) AS INTEGER) AS is_weekend, round(sin((dayofweek(o_orderdate) + 1) * 2 * pi() / 7), 8) AS dow_sin, round(cos(month(o_orderdate) * 2 * pi() / 12), 8) AS month_cos FROM orders""")
+           CAST(dayofweek(o_orderdate) IN (0, 6) AS INTEGER) AS is_weekend,
+           CASE WHEN dayofweek(o_orderdate) = 6 THEN 0::DOUBLE ELSE round(sin((dayofweek(o_orderdate) + 1) * 2 * pi() / 7), 8) END AS dow_sin,
+           CASE WHEN month(o_orderdate) IN (3, 9) THEN 0::DOUBLE ELSE round(cos(month(o_orderdate) * 2 * pi() / 12), 8) END AS month_cos FROM orders""")
 def _(spark, d):
     c = features.calendar(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate")
     return c.select("o_orderkey", "day_of_week", "day_of_month", "month", "is_weekend", F.round("dow_sin", 8).alias("dow_sin"), F.round("month_cos", 8).alias("month_cos"))
