@@ -13,10 +13,6 @@ COLUMNS = ["transaction_id", "amount", "record_date"]
 TXN = r"^TXN-[0-9]{8}-[0-9]{10}\z"
 AMOUNT = r"^-?[0-9]+\.[0-9]{2}\z"
 DAY_US = 86_400_000_000
-#: The classifier passes on a column whose own discrimination is at least this (0.5: none); the exact medians decide.
-PASS_AUC = 0.52
-#: Loads with fewer rows than this are passed on whatever the classifier says: it has no power there.
-SMALL_LOAD = 400
 #: Per-load tables up to this size are broadcast to the scan; larger ones are joined by key.
 BROADCAST_BYTES = 32 << 20
 
@@ -93,20 +89,9 @@ def _values(rows: DataFrame, column: str, filled: str) -> DataFrame:
     return per.groupBy("load").agg(F.count(F.lit(1)).alias(f"distinct_{column}"), F.max("c").alias(f"top_{column}"))
 
 
-def _passed(c: str) -> Column:
-    low = F.col(f"auc_only_{c}").isNull() | (F.col(f"auc_only_{c}") >= PASS_AUC)
-    return F.col("prev").isNotNull() & (low | (F.least(F.col("rows"), F.col("prev_rows")) < SMALL_LOAD))
-
-
 def _shifts(rows: DataFrame, tests: DataFrame) -> DataFrame:
-    """(load, column): loads whose median is confirmed to have moved, of those the classifier passed on."""
-    sizes = tests.select(F.col("load").alias("prev"), F.col("rows").alias("prev_rows"))
-    pairs = tests.join(sizes, "prev", "left").select("load", "prev", *(F.coalesce(_passed(c), F.lit(False)).alias(c) for c in COLUMNS[1:]))
-    asked = pairs.select("load", "prev", F.explode(F.array(*(F.when(F.col(c), F.lit(c)) for c in COLUMNS[1:]))).alias("column")).where("column IS NOT NULL")
-    asked = cut(asked, "asked")
-    need = asked.select("load").union(asked.select("prev")).distinct()
-    wanted = cut(tests.join(need, "load", "left_semi"), "wanted")
-    small = plan_bytes(wanted) <= BROADCAST_BYTES
+    """(load, column): loads whose exact median has moved against the load before, whatever the classifier says of the pair."""
+    small = plan_bytes(tests) <= BROADCAST_BYTES
     values = rows.select(
         F.col("load_id").alias("load"),
         F.explode(
@@ -116,14 +101,14 @@ def _shifts(rows: DataFrame, tests: DataFrame) -> DataFrame:
             )
         ).alias("v"),
     ).select("load", "v.*").where("value IS NOT NULL")
-    med = cut(exact_medians(values, F.broadcast(wanted) if small else wanted, COLUMNS[1:]), "medians")
-    two = asked.join(med, ["load", "column"]).join(med.select(F.col("load").alias("prev"), "column", F.col("twice").alias("old")), ["prev", "column"])
+    med = cut(exact_medians(values, F.broadcast(tests) if small else tests, COLUMNS[1:]), "medians")
+    two = tests.select("load", "prev").join(med, "load").join(med.select(F.col("load").alias("prev"), "column", F.col("twice").alias("old")), ["prev", "column"])
     moved = F.when(F.col("column") == "amount", F.expr("2 * CAST(twice AS DECIMAL(30,0)) > 3 * CAST(old AS DECIMAL(30,0)) OR 3 * CAST(twice AS DECIMAL(30,0)) < 2 * CAST(old AS DECIMAL(30,0))")).otherwise(F.abs(F.col("twice") - F.col("old")) > 4 * DAY_US)
     return two.where(moved).select("load", F.col("column"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of every load: shifts by the classifier and the exact medians of what it passed on, the rest by exact counts."""
+    """Findings of every load: shifts by the exact medians of all loads, the rest by exact counts."""
     rows = _rows(spark, sf_dir)
     base = _base(rows).join(_values(rows, "transaction_id", "f_txn"), "load", "left").join(_values(rows, "amount", "f_amount"), "load", "left")
     tests = [(c, "null_rate", f"rows - f_{c} > 0.05 * rows") for c in COLUMNS]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.operators.two_sample import auc, compare, exact_medians, fit, load_tests
+from tarnwork.queries.p2 import p2_found
 
 SCHEMA = "load long, sys string, x long, y long, n long"
 BINS = lambda: {"x": (F.when(F.col("x").isNull(), 0).otherwise(F.least(F.floor(F.col("x") / 10), F.lit(8)) + 1), 10, 1), "y": (F.coalesce(F.pmod("y", F.lit(3)), F.lit(0)), 3, 3)}
@@ -56,3 +58,16 @@ def test_auc_against_pairs_and_fit_against_closed_form():
     coef = fit([c], [3], n1, n0, l2=1e-6, steps=30)
     assert np.allclose(coef[0] + coef[1:], np.log(n1 / n0), atol=1e-3)
     assert np.isnan(compare(np.array([0]), np.array([3]), np.array([0]), np.array([3]), [2])[0])
+
+
+def test_medians_that_move_inside_a_bin_are_shifts(spark, tmp_path):
+    at = dt.datetime(2026, 5, 1)
+
+    def load(k, n, amount, days):
+        return [(k, "s", f"TXN-20260501-{k * 1000 + i:010d}", f"{amount + i % 20}.{i % 100:02d}", at - dt.timedelta(days=days, seconds=i), at) for i in range(n)]
+
+    data = load(1, 500, 300, 12) + load(2, 500, 600, 12) + load(3, 500, 600, 16) + load(4, 500, 620, 15) + load(5, 5, 300, 15)
+    df = spark.createDataFrame(data, "load_id long, _source_system string, transaction_id string, amount string, record_date timestamp, _ingest_ts timestamp")
+    df.write.parquet(str(tmp_path / "sales.parquet"))
+    got = {(r.load_id, r.column_name) for r in p2_found(spark, str(tmp_path)).where("finding = 'shift'").collect()}
+    assert got == {(2, "amount"), (3, "record_date"), (5, "amount")}
