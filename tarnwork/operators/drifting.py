@@ -21,6 +21,7 @@ from tarnwork.session import plan_bytes
 BROADCAST_BYTES = 32 << 20
 #: A gone and a new field are a rename from this likeness on (0 to 1).
 RENAME_LIKENESS = 0.6
+CHANGE = ["source_file", "change", "field_from", "field_to"]
 
 
 def valid_records(df: DataFrame, raw: str, keep: list[str]) -> DataFrame:
@@ -136,18 +137,24 @@ def _pair(pdf: pd.DataFrame) -> pd.DataFrame:
     gone, new = ([x for x in rows if x[0] == s] for s in ("removed", "added"))
     scored = sorted(((-_likeness(g[2], n[2], g[3], n[3], g[1], n[1]), g[1], n[1]) for g in gone for n in new))
     used: set[tuple[str, str]] = set()
+    own = (pdf["system"].iloc[0], int(pdf["k"].iloc[0]), pdf["file"].iloc[0])
     out = []
     for s, g, n in scored:
         if -s >= RENAME_LIKENESS and ("g", g) not in used and ("n", n) not in used:
             used |= {("g", g), ("n", n)}
-            out.append((pdf["file"].iloc[0], "renamed", g, n))
-    out += [(pdf["file"].iloc[0], "removed", g[1], "") for g in gone if ("g", g[1]) not in used]
-    out += [(pdf["file"].iloc[0], "added", "", n[1]) for n in new if ("n", n[1]) not in used]
-    return pd.DataFrame(out, columns=["source_file", "change", "field_from", "field_to"])
+            out.append((*own, "renamed", g, n))
+    out += [(*own, "removed", g[1], "") for g in gone if ("g", g[1]) not in used]
+    out += [(*own, "added", "", n[1]) for n in new if ("n", n[1]) not in used]
+    return pd.DataFrame(out, columns=["system", "k", *CHANGE])
 
 
 def schema_changes(unions: DataFrame, files: DataFrame) -> DataFrame:
-    """(source_file, change, field_from, field_to) of every file against the one before it in its system.
+    """(source_file, change, field_from, field_to) of every file against the one before it in its system."""
+    return placed_changes(unions, files).select(*CHANGE)
+
+
+def placed_changes(unions: DataFrame, files: DataFrame) -> DataFrame:
+    """``schema_changes`` with the system and the place of the file in it.
 
     Fields are followed through the files of their system; a file with fields both gone and new is settled by pairing, whose
     input is the fields of one file.
@@ -156,11 +163,11 @@ def schema_changes(unions: DataFrame, files: DataFrame) -> DataFrame:
     cols = ["system", "field", "kinds", "n", "records"]
     u = unions.select(*cols, "k", "file", "last", "type", F.lag("k").over(run).alias("pk"), F.lag("type").over(run).alias("pt"), F.lead("k").over(run).alias("nk"))
     follows = F.col("pk").eqNullSafe(F.col("k") - 1)
-    retyped = u.where(follows & (F.col("pt") != F.col("type"))).select(F.col("file").alias("source_file"), F.lit("retyped").alias("change"), F.col("field").alias("field_from"), F.col("field").alias("field_to"))
+    retyped = u.where(follows & (F.col("pt") != F.col("type"))).select("system", "k", F.col("file").alias("source_file"), F.lit("retyped").alias("change"), F.col("field").alias("field_from"), F.col("field").alias("field_to"))
     added = u.where((F.col("k") > 1) & ~follows).select(*cols, "k", F.lit("added").alias("side"))
     removed = u.where(~F.col("last") & ~F.col("nk").eqNullSafe(F.col("k") + 1)).select(*cols, (F.col("k") + 1).alias("k"), F.lit("removed").alias("side"))
     moved = added.unionByName(removed).join(files.select("system", "k", "file"), ["system", "k"])
-    out = "source_file string, change string, field_from string, field_to string"
+    out = f"system {dict(unions.dtypes)['system']}, k int, " + ", ".join(f"{c} string" for c in CHANGE)
     return retyped.unionByName(moved.groupBy("system", "k").applyInPandas(_pair, out))
 
 
@@ -172,48 +179,128 @@ def new_alternatives(unions: DataFrame) -> DataFrame:
     return first.withColumn("__s", start).where(F.col("f.k") > F.col("__s")).select(F.col("f.file").alias("source_file"), "field", "type", F.col("f.n").alias("n"))
 
 
+def rename_moves(changes: DataFrame, unions: DataFrame) -> list[tuple[str, str, int, int, str]]:
+    """(system, name, first k, last k, column): where the values of names that take part in renames go.
+
+    A rename holds in its system, from its file on; a name that comes back later is a field of its own, as is one that stands
+    beside the other in any file of the system (then the rename is not followed). Two fields of a system never share a column,
+    so no two names of a file do. ``changes``: of ``schema_changes`` or ``placed_changes``. Driver-side: as large as the
+    number of renames times the files of their systems.
+    """
+    renamed = changes.where("change = 'renamed'")
+    if "system" not in changes.columns:
+        renamed = renamed.join(unions.select("system", "k", F.col("file").alias("source_file"), F.col("field").alias("field_to")), ["source_file", "field_to"])
+    by_system: dict[str, list[tuple[int, str, str]]] = {}
+    for r in renamed.select("system", "k", "field_from", "field_to").distinct().collect():
+        by_system.setdefault(r.system, []).append((r.k, r.field_from, r.field_to))
+    if not by_system:
+        return []
+    names = renamed.select("system", F.explode(F.array("field_from", "field_to")).alias("field")).distinct()
+    files: dict[tuple[str, str], list[int]] = {}
+    for r in unions.join(names, ["system", "field"]).select("system", "field", "k").collect():
+        files.setdefault((r.system, r.field), []).append(r.k)
+    counts = {r.field: r.n for r in unions.join(names.select("field").distinct(), "field").groupBy("field").agg(F.sum("n").alias("n")).collect()}
+    out = []
+    for system, renames in sorted(by_system.items()):
+        own = {n: files.get((system, n), []) for k, *pair in renames for n in pair}
+        steps = {n: [(0, (n, 0))] for n in own}  # name -> from which file on it is which field
+        for k, x, y in sorted(renames):
+            if set(own[x]) & set(own[y]):
+                continue
+            steps[y].append((k, steps[x][-1][1]))
+            steps[x].append((k, (x, k)))
+        ranges = [(n, k, (run[i + 1][0] if i + 1 < len(run) else 2**31) - 1, f) for n, run in steps.items() for i, (k, f) in enumerate(run)]
+        fields: dict[tuple[str, int], list[str]] = {}
+        for n, lo, hi, f in ranges:
+            if any(lo <= k <= hi for k in own[n]):
+                fields.setdefault(f, []).append(n)
+        taken: dict[str, tuple[str, int]] = {}
+        column = {}
+        for f in sorted(fields, key=lambda f: (len(set(fields[f])), f)):
+            best = sorted(set(fields[f]), key=lambda n: (-counts[n], n))
+            free = [n for n in best if n not in taken] or [f"{best[0]}_{i}" for i in range(2, 2 + len(fields) + len(own)) if f"{best[0]}_{i}" not in taken]
+            column[f] = free[0]
+            taken[free[0]] = f
+        out += [(system, n, lo, hi, column[f]) for n, lo, hi, f in ranges if f in column]
+    return out
+
+
+def _moves_table(unions: DataFrame, moves: list[tuple[str, str, int, int, str]]) -> DataFrame:
+    return unions.sparkSession.createDataFrame(moves, f"system {dict(unions.dtypes)['system']}, field string, lo int, hi int, column string")
+
+
+def columns_of_files(moves: list[tuple[str, str, int, int, str]], files: DataFrame) -> DataFrame:
+    """(system, file, to): per file the columns of the names that moves speak of, as a map."""
+    m = _moves_table(files, moves)
+    own = files.join(F.broadcast(m), "system").where(F.col("k").between(F.col("lo"), F.col("hi")))
+    return own.groupBy("system", "file").agg(F.map_from_entries(F.collect_list(F.struct("field", "column"))).alias("to"))
+
+
 def canonical_names(changes: DataFrame, unions: DataFrame) -> dict[str, tuple[list[str], dict[str, int], str]]:
-    """Canonical field -> (its names, JSON type -> count over all files, what it is). Names joined by renames are one field,
-    called by the name with the most values. Driver-side: as large as the number of distinct field names."""
-    parent: dict[str, str] = {}
-
-    def root(x: str) -> str:
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for r in changes.where("change = 'renamed'").select("field_from", "field_to").distinct().collect():
-        parent[root(r.field_from)] = root(r.field_to)
-    per = unions.select("field", F.explode("types").alias("type", "c")).groupBy("field", "type").agg(F.sum("c").alias("c"))
-    sort = unions.select("field", F.explode("kinds").alias("x")).groupBy("field", F.substring_index("x.kind", "\t", 1).alias("kind")).agg(F.sum("x.n").alias("c"))
+    """Column -> (the names of its values, JSON type -> count over all files, what it is). Names joined by renames are one
+    field where ``rename_moves`` says so, called by the name with the most values; else a column has the name of its field.
+    Driver-side: as large as the number of distinct field names."""
+    moves = rename_moves(changes, unions)
+    m = F.broadcast(_moves_table(unions, moves))
+    u, at = unions.alias("u"), (F.col("u.system") == F.col("m.system")) & (F.col("u.field") == F.col("m.field")) & F.col("u.k").between(F.col("m.lo"), F.col("m.hi"))
+    to = F.coalesce("m.column", "u.field").alias("column")
+    moved = u.join(m.alias("m"), at, "left").select(to, "u.field", "u.types", "u.kinds")
+    per = moved.select("column", "field", F.explode("types").alias("type", "c")).groupBy("column", "field", "type").agg(F.sum("c").alias("c"))
+    sort = moved.select("column", F.explode("kinds").alias("x")).groupBy("column", F.substring_index("x.kind", "\t", 1).alias("kind")).agg(F.sum("x.n").alias("c"))
     groups: dict[str, tuple[Counter, Counter, Counter]] = {}
     for r in per.collect():
-        names, types, _ = groups.setdefault(root(r.field), (Counter(), Counter(), Counter()))
+        names, types, _ = groups.setdefault(r.column, (Counter(), Counter(), Counter()))
         names[r.field] += r.c
         types[r.type] += r.c
     for r in sort.collect():
-        groups[root(r.field)][2]["number" if r.kind in ("few", "int", "dec") else r.kind] += r.c
+        groups[r.column][2]["number" if r.kind in ("few", "int", "dec") else r.kind] += r.c
     out = {}
-    for names, types, kinds in groups.values():
+    for column, (names, types, kinds) in groups.items():
         best = min(names, key=lambda x: (-names[x], x))
         what = min(types, key=lambda x: (-types[x], x))
         for k in ("date", "number", "boolean"):
             if kinds[k] > 0.5 * sum(kinds.values()):
                 what = k
-        out[best] = ([best, *sorted(x for x in names if x != best)], dict(types), what)
+        out[column] = ([best, *sorted(x for x in names if x != best)], dict(types), what)
     return dict(sorted(out.items()))
 
 
-def one_table(records: DataFrame, fields: dict[str, tuple[list[str], dict[str, int], str]], keep: list[str]) -> DataFrame:
+def _free(name: str, taken: set[str]) -> str:
+    """``name``, with ``_2`` appended until it is not taken; takes it."""
+    while name in taken:
+        name += "_2"
+    taken.add(name)
+    return name
+
+
+def one_table(records: DataFrame, fields: dict[str, tuple[list[str], dict[str, int], str]], keep: list[str], to: str | None = None) -> DataFrame:
     """All valid records: ``keep``, then per field its canonical column and, where types conflict, a branch ``<field>__<type>``
     with the values of that type as they came. Canonical: dates TIMESTAMP, numbers DOUBLE, booleans BOOLEAN, else text
-    (arrays and objects as JSON). A field named as one of ``keep`` gets ``_2`` appended."""
+    (arrays and objects as JSON). A field named as one of ``keep`` gets ``_2`` appended.
+
+    ``to``: a column of ``records`` that maps names to fields in this record's file; other names go to the field of that
+    name, else to the first that has it. Should a record hold two names of a field, the second value goes, as it came, to a
+    column of its own, ``<field>__of_<name>``.
+    """
+    home = {n: c for c, (names, _, _) in reversed(fields.items()) for n in names}
+    home |= {c: c for c in fields if c in home}
     typed = F.transform(
         F.map_entries(F.col("v").cast("map<string,variant>")),
         lambda e: F.struct(e["key"], F.struct(json_type(F.schema_of_variant(e["value"])).alias("type"), F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.to_json(e["value"])).alias("text"))),
     )
-    m = records.select(*keep, F.map_from_entries(F.filter(typed, lambda e: e["col2"]["type"].isNotNull())).alias("__m"))
-    m = m.select(*keep, *(F.coalesce(*(F.col("__m")[n] for n in names)).alias(f"__f{i}") for i, (names, _, _) in enumerate(fields.values())))
+    m = records.select(*keep, *([F.col(to).alias("__to")] if to else []), F.map_from_entries(F.filter(typed, lambda e: e["col2"]["type"].isNotNull())).alias("__m"))
+    cells, second = [], []
+    shared = Counter(n for names, _, _ in fields.values() for n in names)
+    for i, (field, (names, _, _)) in enumerate(fields.items()):
+        value = {}
+        for n in names:
+            own = F.coalesce(F.col("__to")[n], F.lit(home[n])) if to else F.lit(home[n])
+            value[n] = F.col("__m")[n] if shared[n] == 1 else F.when(own == field, F.col("__m")[n])
+        cells.append(F.coalesce(*value.values()).alias(f"__f{i}"))
+        for j, n in enumerate(names[1:], 1):
+            before = F.coalesce(*(value[x] for x in names[:j])).isNotNull()
+            second.append((f"{field}__of_{n}", F.when(before, value[n]["text"]).alias(f"__s{len(second)}")))
+    m = m.select(*keep, *cells, *(c for _, c in second))
     taken = set(keep)
     out: list[Column] = []
     for i, (field, (_, types, what)) in enumerate(fields.items()):
@@ -226,11 +313,11 @@ def one_table(records: DataFrame, fields: dict[str, tuple[list[str], dict[str, i
             canon = text.try_cast("boolean")
         else:
             canon = text
-        name = field if field not in taken else f"{field}_2"
-        taken.add(name)
+        name = _free(field if field not in keep else f"{field}_2", taken)
         out.append(canon.alias(name))
         if len(types) > 1:
             for alt in sorted(types):
                 raw = F.when(t == alt, text)
-                out.append((raw.try_cast("double") if alt == "number" else raw.try_cast("boolean") if alt == "boolean" else raw).alias(f"{name}__{alt}"))
+                out.append((raw.try_cast("double") if alt == "number" else raw.try_cast("boolean") if alt == "boolean" else raw).alias(_free(f"{name}__{alt}", taken)))
+    out += [F.col(f"__s{i}").alias(_free(name, taken)) for i, (name, _) in enumerate(second)]
     return m.select(*keep, *out)

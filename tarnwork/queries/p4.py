@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.operators.drifting import canonical_names, file_unions, first_deliveries, new_alternatives, one_table, schema_changes, valid_records
+from tarnwork.operators.drifting import canonical_names, columns_of_files, file_unions, first_deliveries, new_alternatives, one_table, placed_changes, rename_moves, schema_changes, valid_records
 from tarnwork.session import cut
 from tarnwork.sources.tables import table
 
@@ -34,10 +34,12 @@ def p4_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All valid records of all deliveries in one table; ``redelivered`` marks those of a file's later deliveries."""
     records, files, unions = _unions(spark, sf_dir)
-    fields = canonical_names(cut(schema_changes(unions, files), "changes"), unions)
-    first = files.select(F.col("system").alias("_source_system"), F.col("file").alias("_source_file"), F.col("ts").alias("__first"))
+    changes = cut(placed_changes(unions, files), "changes")
+    fields = canonical_names(changes, unions)
+    to = columns_of_files(rename_moves(changes, unions), files)
+    first = files.join(to, ["system", "file"], "left").select(F.col("system").alias("_source_system"), F.col("file").alias("_source_file"), F.col("ts").alias("__first"), F.col("to").alias("__to"))
     marked = records.join(first, ["_source_system", "_source_file"], "left").withColumn("redelivered", F.col("_ingest_ts") > F.col("__first"))
-    return one_table(marked, fields, [*KEEP, "redelivered"])
+    return one_table(marked, fields, [*KEEP, "redelivered"], "__to")
 
 
 QUERIES = {"p4_found": p4_found, "p4_changes": p4_changes, "p4_table": p4_table}

@@ -5,6 +5,7 @@ import json
 import random
 
 from tarnwork.operators.drifting import canonical_names, file_unions, first_deliveries, new_alternatives, one_table, schema_changes, valid_records
+from tarnwork.queries.p4 import p4_found, p4_table
 
 SCHEMA = "raw string, sys string, file string, ts timestamp, v string, field string"
 T = dt.datetime(2026, 1, 1)
@@ -63,3 +64,27 @@ def test_empty_and_clashing_names(spark):
     records, files, unions = run(spark, [('{"file": 1, "v": {"a": 2}}', "s", "f", T, "x", "y")])
     t = one_table(records, canonical_names(schema_changes(unions, files), unions), ["sys", "file", "ts"])
     assert {c: t.first()[c] for c in ("file", "file_2", "v")} == {"file": "f", "file_2": 1.0, "v": '{"a":2}'}
+
+
+def test_a_rename_holds_in_its_system_and_drops_no_value(spark, tmp_path):
+    """In w amount becomes total; in s as well, but amount comes back beside it; in t both stand together; in u one flag gives way
+    to another that it stood beside."""
+    rows = []
+    w, s = [{"amount": 9.25}] * 2 + [{"total": 9.75}] * 4, [{"amount": 9.25}] * 2 + [{"total": 9.75}] * 2 + [{"total": 9.75, "amount": 10.5}] * 2
+    t, u = [{"amount": 9.5, "total": 12.5}] * 6, [{"returned": True, "warranty": True}] * 2 + [{"returned": True}] * 2 + [{"warranty": True}] * 2
+    for system, records in {"s": s, "t": t, "u": u, "w": w}.items():
+        for n, x in enumerate(records):
+            rows += [(json.dumps({**x, "id": f"B{i:03d}"}), system, f"{system}{n}", T + dt.timedelta(days=n), dt.date(2026, 1, 1)) for i in range(5)]
+    rows.append((json.dumps({"amount": 7.75, "total": 8.75}), "w", "w2", T + dt.timedelta(days=9), dt.date(2026, 1, 1)))
+    spark.createDataFrame(rows, "raw_value string, _source_system string, _source_file string, _ingest_ts timestamp, _ingest_date date").write.parquet(str(tmp_path / "bronze_sales.parquet"))
+    renamed = {tuple(r) for r in p4_found(spark, str(tmp_path)).where("change = 'renamed'").collect()}
+    assert renamed == {("s2", "renamed", "amount", "total"), ("w2", "renamed", "amount", "total"), ("u4", "renamed", "returned", "warranty")}
+    table = p4_table(spark, str(tmp_path)).collect()
+    assert len(table) == len(rows)
+    for r in table:
+        n = int(r._source_file[1:])
+        have = {c: r[c] for c in ("amount", "total", "returned", "warranty") if r[c] is not None}
+        if r.redelivered:
+            assert {7.75, 8.75} <= {float(r[c]) for c in table[0].asDict() if r[c] and c.split("__")[0] in ("amount", "total")}
+        else:
+            assert have == ({"total": next(iter(w[n].values()))} if r._source_system == "w" else {"s": s, "t": t, "u": u}[r._source_system][n])
