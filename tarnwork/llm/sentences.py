@@ -147,6 +147,8 @@ class Knowledge:
 
     starters: frozenset[str] = frozenset()
     abbreviations: dict[str, bool] = field(default_factory=dict)
+    #: Listed words, as they are written, that stand without a stop more often than with one.
+    ordinary: frozenset[str] = frozenset()
 
 
 _DOTTED = re.compile(f"(?<![\\w.])({_L}{{1,6}})\\.(?=(\\s*)(\\S?)(\\S*))")
@@ -175,7 +177,10 @@ def observe(text: str, seen: Counter, bare: Counter) -> None:
                 seen["inside", w] += 1
             elif gap:
                 seen["open", w] += 1
+            if w in NEVER_END:
+                seen["dotted", m[1]] += 1
         bare.update(_SHORT.findall(t.lower()))
+        seen.update(("plain", w) for w in _SHORT.findall(t) if w.lower() in NEVER_END)
 
 
 def learn(docs: DataFrame, rare: float = 2e-5) -> Knowledge:
@@ -198,7 +203,7 @@ def learn(docs: DataFrame, rare: float = 2e-5) -> Knowledge:
                 yield flush()
         yield flush()
 
-    per = docs.select("text").where("text IS NOT NULL").mapInPandas(count, "kind string, word string, n long").groupBy("word").pivot("kind", ["start", "end", "inside", "open", "bare"]).agg(F.sum("n")).na.fill(0)
+    per = docs.select("text").where("text IS NOT NULL").mapInPandas(count, "kind string, word string, n long").groupBy("word").pivot("kind", ["start", "end", "inside", "open", "bare", "dotted", "plain"]).agg(F.sum("n")).na.fill(0)
     per = cut(per, "words")
     total = per.agg(F.sum("start"), F.sum(F.col("end") + F.col("inside") + F.col("open"))).first()
     starts = per.where((F.col("start") >= 3) & (F.col("start") >= rare * (total[0] or 0))).select("word")
@@ -207,7 +212,8 @@ def learn(docs: DataFrame, rare: float = 2e-5) -> Knowledge:
     often = F.col("inside") >= F.lit(0.3) * dots
     always = (F.length("word") <= 4) & (dots >= 10) & (F.col("end") <= 0.01 * dots) & (F.col("bare") <= 0.05 * dots)
     short = per.where((dots >= 3) & (dots >= rare * (total[1] or 0)) & (often | always) & (F.col("bare") <= 2 * dots)).select("word", (F.col("end") > 0.03 * dots).alias("ends"))
-    return Knowledge(frozenset(r.word for r in starts.collect()), {r.word: r.ends for r in short.collect()})
+    ordinary = per.where(F.col("plain") > F.col("dotted")).select("word")  # of the list, so few
+    return Knowledge(frozenset(r.word for r in starts.collect()), {r.word: r.ends for r in short.collect()}, frozenset(r.word for r in ordinary.collect()))
 
 
 class _Document:
@@ -219,6 +225,7 @@ class _Document:
         self._inside: dict[str, bool] = {}
         self._low = text.lower()
         self._names: set[str] | None = None
+        self._bare: dict[str, bool] = {}
 
     @property
     def german(self) -> bool:
@@ -258,17 +265,31 @@ class _Document:
             self._names = set(re.findall(r"(?<=[\w,] )[^\W\d_a-z]\w+", self.text))
         return w in self._names
 
-    def abbreviation(self, w: str) -> bool | None:
-        """None: no abbreviation; else whether it can end a sentence. What only the document calls one can, before a starter."""
+    def bare(self, form: str) -> bool:
+        """Does ``form``, as it is written, stand here without a stop?"""
+        got = self._bare.get(form)
+        if got is None:
+            got = self._bare[form] = re.search(f"(?<![\\w.]){re.escape(form)}(?![\\w.])", self.text) is not None
+        return got
+
+    def abbreviation(self, form: str) -> bool | None:
+        """None: no abbreviation; else whether it can end a sentence. What only the document calls one can, before a starter.
+
+        The document is asked first, then the corpus, then the lists. A listed word that the document, or the corpus where
+        the document is silent, uses as an ordinary word can end a sentence, before a starter.
+        """
+        w = form.lower()
         last = w.rsplit(".", 1)[-1]
-        for x in (w, last) if last != w else (w,):
-            if x in MAY_END:
-                return True
-            if x in NEVER_END:
-                return bool(self.know.abbreviations.get(x, False)) and x not in ("mr", "mrs", "ms", "dr", "prof", "no", "fig")
-        if w in self.know.abbreviations:
-            return self.know.abbreviations[w]
-        return True if self.own(w) else None
+        x = next((x for x in (w, last) if x in MAY_END or x in NEVER_END), None)
+        if x is None:
+            if w in self.know.abbreviations:
+                return self.know.abbreviations[w]
+            return True if self.own(w) else None
+        if x in MAY_END:
+            return True
+        if x == w and not self.inside(w) and (self.bare(form) or form in self.know.ordinary):
+            return True
+        return bool(self.know.abbreviations.get(x, False)) and x not in ("mr", "mrs", "ms", "dr", "prof", "no", "fig")
 
     def own(self, w: str) -> bool:
         """Is ``w`` an abbreviation by this document alone?"""
@@ -334,7 +355,7 @@ def _is_end(doc: _Document, t: str, term: str, stop: int, end: int, quoted: int
     low = w.lower()
     if re.fullmatch(r"(?:\w\.)*[A-ZА-ЯЁ]", w) and low not in MAY_END:
         return False  # initials
-    ends = doc.abbreviation(low) if low else None
+    ends = doc.abbreviation(w) if low else None
     if ends is None:
         if re.fullmatch(r"(?:[^\W\d_]\.)*[^\W\d_]", w) and low not in MAY_END:
             return False
@@ -342,6 +363,8 @@ def _is_end(doc: _Document, t: str, term: str, stop: int, end: int, quoted: int
         return opens or (len(low) >= 3 and low.isalpha()) or t[stop - 1 : stop] == ")"
     if not ends:
         return False
+    if low in NEVER_END and not doc.know.abbreviations.get(low):
+        return upper and known  # a listed word that is an ordinary one here; before a number or a small letter it abbreviates
     if lower:
         return opens
     if upper and not doc.german and not doc.own(low):

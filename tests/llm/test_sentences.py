@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from tarnwork.llm.sentences import Knowledge, blocks, enclosed, sentence_ends, split_sentences
+from tarnwork.llm.sentences import Knowledge, blocks, enclosed, learn, sentence_ends, split_sentences
 
 KNOW = Knowledge(frozenset(["The", "On", "Мы", "为什", "报告", "站点", "لم", "Die", "<num>", "<id>", "site"]), {})
 
@@ -68,6 +68,14 @@ def test_document_decides_on_its_own_words():
     assert units("See Tkt. Five now.") == ["See Tkt.", "Five now."]
 
 
+def test_listed_words_are_ordinary_where_document_or_corpus_says_so(spark):
+    text = "There is no row, and no key. The answer is no. The job failed. See no. 5 of it."
+    assert units(text) == ["There is no row, and no key.", "The answer is no.", "The job failed.", "See no. 5 of it."]
+    assert units("The answer is no. The job failed.", Knowledge(KNOW.starters, {}, frozenset(["no"]))) == ["The answer is no.", "The job failed."]
+    assert units("Dr. The left. It took no key. No. The end") == ["Dr. The left.", "It took no key.", "No. The end"]
+    assert learn(spark.createDataFrame([("One art. One art and art, Dr. Bo.",)], "text string")).ordinary == {"art"}
+
+
 def test_operator_on_dirty_tables(spark):
     rows = [(1, "One. Two.", "x", 1), (2, None, "x", 1), (3, "", "x", 1), (4, " \n\t ", "x", 1), (5, "One. Two.", None, 1), (6, "No sentence. " * 30000, "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, sentence string, sent_no int")
