@@ -13,6 +13,7 @@ block is one pass over the documents. No row of the corpus is shuffled, so hot s
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -158,6 +159,23 @@ class Index:
 _OUT = "doc_id long, item_id long, shared long, windows long, share double, edit_similarity double"
 
 
+def _similarity(item: np.ndarray, text: np.ndarray, shifts: np.ndarray) -> float:
+    """The greatest word-level edit similarity of ``item`` with a stretch of its length, at every place where a matching window
+    says it may begin (and at their median). Equal stretches are compared once; one is skipped only if the words it has in
+    common with the item cannot give more than what is found."""
+    size, own, best, seen = len(item), Counter(item.tolist()), 0.0, set()
+    places, n = np.unique(np.maximum(np.append(shifts, int(np.median(shifts))), 0), return_counts=True)
+    for lo in places[np.argsort(-n, kind="stable")]:
+        region = text[lo : lo + size]
+        if region.tobytes() in seen:
+            continue
+        seen.add(region.tobytes())
+        longest = max(size, len(region))
+        if (own & Counter(region.tolist())).total() / longest > best:
+            best = max(best, 1 - edit_distance(item, region) / longest)
+    return best
+
+
 def _matches(index: Index, doc_ids: list, texts: list[np.ndarray], min_share: float) -> list[tuple]:
     """Pairs of a stretch of documents whose share of the item's distinct windows is at least ``min_share``."""
     w = index.emb.width
@@ -178,9 +196,7 @@ def _matches(index: Index, doc_ids: list, texts: list[np.ndarray], min_share: fl
         if shared / total + 1e-12 < min_share:
             continue
         item, text = index.tokens[k], texts[di]
-        lo = max(0, int(g["shift"].median()))  # where the item would begin if it stood there whole
-        region = text[lo : lo + len(item)]
-        sim = 1 - edit_distance(item, region) / max(len(item), len(region))
+        sim = _similarity(item, text, g["shift"].to_numpy())
         out.append((doc_ids[di], int(index.ids[k]), shared, total, shared / total, float(sim)))
     return out
 
@@ -189,7 +205,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, emb: Embedding = Embedding(),
     """(doc_id, item_id, shared, windows, share, edit_similarity) of every document (doc_id, text) holding at least
     ``min_share`` of the distinct windows of an item (item_id, passage), up to ``max_edits`` edits each.
 
-    ``edit_similarity`` compares the item, word by word, with the stretch of its length where most windows match. Null or
+    ``edit_similarity`` compares the item, word by word, with the most similar stretch of its
+    length among those where a window matches. Null or
     empty texts and passages shorter than a window match nothing. Whole texts are read, in stretches of bounded memory.
     ``block_words``: words of passages in one index; more passages are worked off in several passes.
     """

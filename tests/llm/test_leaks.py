@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tarnwork.llm.leaks import Embedding, Index, edit_distance, edit_distances, find_leaks
+from tarnwork.llm.leaks import Embedding, Index, _matches, edit_distance, edit_distances, find_leaks
 from tarnwork.llm.words import word_ids, words
 
 DOC = "doc_id long, text string, item_id string, share string"
@@ -86,3 +86,11 @@ def test_edit_distance():
     for _ in range(50):
         a, b = ([r.randrange(4) for _ in range(r.randrange(0, 9))] for _ in range(2))
         assert edit_distance(np.array(a, np.uint64), np.array(b, np.uint64)) == lev(a, b)
+
+
+def test_a_passage_standing_twice_is_compared_with_a_whole_copy():
+    item = " ".join(f"i{k}" for k in range(40))
+    gap = " ".join(f"g{k}" for k in range(100))
+    texts = [f"{gap} {item} {gap} {item} {gap}", " ".join([item] * 3000), f"{item} " + " ".join(f"i{k}" for k in range(10)) + f" {gap} i0 i1 i2 i3 i4 {gap}"]
+    got = _matches(Index([(1, item)], Embedding()), [1, 2, 3], [word_ids(t) for t in texts], 0.3)
+    assert [(g[0], g[-1]) for g in got] == [(1, 1.0), (2, 1.0), (3, 1.0)]
