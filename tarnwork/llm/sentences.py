@@ -223,7 +223,9 @@ class _Document:
         self.text, self.know = text, know
         self._words: set[str] | None = None
         self._inside: dict[str, bool] = {}
-        self._low = text.lower()
+        low = text.lower()
+        # a letter whose small form is longer (U+0130) stays as it is, so that places are those of the text
+        self._low = low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         self._names: set[str] | None = None
         self._bare: dict[str, bool] = {}
 
@@ -242,8 +244,6 @@ class _Document:
 
     def _look(self, w: str) -> bool:
         low, text, n = self._low, self.text, len(self.text)
-        if len(low) != n:
-            return False  # small letters of other length: places differ
         found, i = False, low.find(w)
         while i >= 0:
             j = i + len(w)

@@ -68,6 +68,10 @@ def test_document_decides_on_its_own_words():
     assert units("See Tkt. Five now.") == ["See Tkt.", "Five now."]
 
 
+def test_a_letter_with_a_longer_small_form_does_not_silence_the_document():
+    assert units("\u0130x. The Tkt. is old. See Tkt. Five now.")[-1] == "See Tkt. Five now."
+
+
 def test_listed_words_are_ordinary_where_document_or_corpus_says_so(spark):
     text = "There is no row, and no key. The answer is no. The job failed. See no. 5 of it."
     assert units(text) == ["There is no row, and no key.", "The answer is no.", "The job failed.", "See no. 5 of it."]
