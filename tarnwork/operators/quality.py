@@ -8,7 +8,7 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.plans.runtime import QualityError
+from tarnwork.plans.runtime import ChecksFailed
 
 RESULT = "check_name string, kind string, severity string, status string, metric double, threshold double, message string"
 
@@ -129,4 +129,4 @@ def feature_suite(keys: list[str], features: list[str], period: str, min_rows: i
 def require(results: DataFrame) -> None:
     """Raise if a critical check does not pass."""
     if has_failures(results):
-        raise QualityError("; ".join(f"{r.check_name}: {r.message}" for r in results.where("severity = 'CRITICAL' AND status <> 'PASS'").collect()))
+        raise ChecksFailed("; ".join(f"{r.check_name}: {r.message}" for r in results.where("severity = 'CRITICAL' AND status <> 'PASS'").collect()))

@@ -42,10 +42,13 @@ def _fold_table(t: pa.Table, keys: list[str], seq: list[str], cols: list[str]) -
     def last(flag: np.ndarray) -> np.ndarray:
         return np.maximum.accumulate(np.where(flag & active, at, -1))[ends]
 
+    state = last(np.asarray(t["__state"]))
     reset = last(np.asarray(t["__reset"]))
+    reset = np.where(reset >= state, reset, -1)
     out = {name: t[name].take(pa.array(ends)) for name in [*keys, *seq, "__present"]}
     out["__reset"] = pa.array(reset >= starts)
-    floor = np.maximum(starts, reset)
+    out["__state"] = pa.array(state >= starts)
+    floor = np.maximum(np.maximum(starts, reset), state)  # what stands before a state is in it already
     for c in cols:
         pos = last(np.asarray(t[f"__set_{c}"]))
         ok = pos >= floor
@@ -93,17 +96,19 @@ def steps(changes: DataFrame, keys: list[str], seq: list[str], cols: list[str],
 def replay(step: DataFrame, keys: list[str], seq: list[str], cols: list[str], state: DataFrame | None = None) -> DataFrame:
     """The state after all steps: one step per key, deleted keys included as tombstones (``__present`` false).
 
-    ``state``, the result of an earlier replay, goes first: steps up to its sequence count as applied and are skipped.
+    ``state``, the result of an earlier replay: a key's steps up to the sequence of its state count as applied and are
+    skipped, whether or not an insert was among them.
     Of rows with equal key and sequence one is applied: present before deleted, then by values, the last in that order.
     A null sequence sorts first. An empty feed gives the state as it was.
     """
     step = step.select(*keys, *seq, "__present", "__reset", *cols, *(f"__set_{c}" for c in cols))
+    step = step.withColumn("__state", F.lit(False))
     if state is not None:
-        step = step.unionByName(state)
-    order = [*keys, *seq, F.col("__present").desc(), *cols]
+        step = step.unionByName(state.select(*keys, *seq, "__present", "__reset", *cols, *(f"__set_{c}" for c in cols), F.lit(True).alias("__state")))
+    order = [*keys, *seq, "__state", F.col("__present").desc(), *cols]
     fold = _folder(keys, seq, cols)
     once = step.repartitionByRange(*keys, *seq).sortWithinPartitions(*order).mapInArrow(fold, step.schema)
-    return once.repartition(*keys).sortWithinPartitions(*keys, *seq).mapInArrow(fold, step.schema)
+    return once.repartition(*keys).sortWithinPartitions(*keys, *seq).mapInArrow(fold, step.schema).drop("__state")
 
 
 def current(state: DataFrame, keys: list[str], seq: list[str], cols: list[str]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from tarnwork.functions.schema import align_to, cast_or_divert, composite_id, er
 from tarnwork.operators import dml, features, joins, periods, quality, shaping, stats, table_profile
 from tarnwork.operators.snapshots import clean_snapshots
 from tarnwork.plans import serving
-from tarnwork.session import shared_dir
+from tarnwork.session import new_dir
 from tarnwork.sources import scan
 from tarnwork.sources.tables import table
 from tarnwork.streaming import streams
@@ -704,7 +702,7 @@ def _(spark, d):
 
 def drained(spark: SparkSession, df: DataFrame) -> DataFrame:
     """What a stream writes until its source is drained."""
-    at = f"{shared_dir(spark).rstrip('/')}/drain-{uuid.uuid4().hex}"
+    at = new_dir(spark, "drain")
     streams.append(df, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{at}/out")
 
@@ -722,7 +720,7 @@ def _(spark, d):
 def _(spark, d):
     e = event_stream(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     w = streams.tumbling(e, "ts", "1 day", "0 seconds", ["event_type"], [F.count(F.lit(1)).alias("n")])
-    at = f"{shared_dir(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+    at = new_dir(spark, "windows")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out")

@@ -104,4 +104,33 @@ def test_guard(spark):
     for kw in ({"limit": 0}, {"offset": -1}, {"order": []}, {"where": "id IN (SELECT id FROM secret)"}):
         with pytest.raises(serving.UnsafeQueryError):
             serving.page(spark, "served", ok, **({"order": ["id"]} | kw))
+    assert [r.id for r in serving.page(spark, "served", ok, ["id % 3 desc nulls last", "id"], 2, 0, "id > 10 AND id <> 11").collect()] == [14, 17]
     assert serving.table_schema(spark, "served").first().type == "bigint" and serving.list_tables(spark, ok).count() == 1
+
+
+def test_guard_knows_where_a_common_table_expression_is_visible(spark):
+    spark.range(50).createOrReplaceTempView("served")
+    spark.range(5).createOrReplaceTempView("secret")
+    ok = {"served"}
+    bad = [
+        "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret",
+        "SELECT * FROM (WITH secret AS (SELECT 1 AS id) SELECT * FROM secret) CROSS JOIN secret",
+        "WITH a AS (SELECT * FROM secret), secret AS (SELECT 1 AS id) SELECT * FROM a",
+        "WITH a AS (WITH secret AS (SELECT 1) SELECT * FROM secret) SELECT * FROM secret",
+        "WITH RECURSIVE secret AS (SELECT 1 AS id UNION ALL SELECT id FROM secret) SELECT * FROM secret",
+        "WITH secret AS (SELECT 1 AS id) SELECT * FROM default.secret",
+        "SELECT * FROM IDENTIFIER('secret')",
+        "SELECT * FROM secret VERSION AS OF 1",
+        "SELECT * FROM served UNION ALL SELECT * FROM secret",
+        "FROM secret |> SELECT *",
+        "TABLE secret",
+        "SELECT * FROM read_files('/tmp')",
+    ]
+    for sql in bad:
+        with pytest.raises(serving.UnsafeQueryError):
+            serving.safe_select(spark, sql, ok)
+    for sql, n in (("WITH secret AS (SELECT * FROM served) SELECT * FROM secret", 50), ("WITH a AS (SELECT 1 AS x), b AS (SELECT x FROM a) SELECT * FROM b WHERE x IN (SELECT x FROM a)", 1), ("SELECT count(*) AS n, id % 2 FROM served GROUP BY 2 HAVING n > 3 ORDER BY 2", 2), ("SELECT * FROM served s JOIN served t USING (id) WHERE s.id < 3", 3)):
+        assert serving.safe_select(spark, sql, ok).count() == n
+    for kw in ({"where": "1=1) UNION ALL (SELECT id FROM served"}, {"where": "id > 0 ORDER BY id"}, {"order": ["id LIMIT 1"]}, {"order": ["id", "(SELECT max(id) FROM secret)"]}, {"where": "reflect('java.lang.System', 'exit', 0) = 1"}):
+        with pytest.raises(serving.UnsafeQueryError):
+            serving.page(spark, "served", ok, **({"order": ["id"]} | kw))

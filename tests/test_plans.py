@@ -55,7 +55,7 @@ def test_retry_backs_off_and_gives_up():
 def test_config_and_pipeline():
     c = runtime.Config.load(["--ENVIRONMENT", "qa", "--LOOKBACK", "2", "--TABLE", "t"], ("TABLE",))
     assert (c.environment, c.lookback, c.extra) == ("qa", 2, {"TABLE": "t"})
-    with pytest.raises(runtime.ConfigError):
+    with pytest.raises(runtime.BadArguments):
         runtime.Config.load([], ("TABLE",))
     seen = []
     steps = [runtime.Step("a", lambda d: 1), runtime.Step("b", lambda d: 1 / 0, may_fail=True), runtime.Step("c", lambda d: d["a"] + 1), runtime.Step("off", lambda d: 9, enabled=False)]

@@ -53,6 +53,18 @@ def test_applied_sequences_are_skipped_and_tombstones_hold(spark):
     assert as_dict(run(late, True, state)) == {1: ("x", "new", 7, 0)}
 
 
+def test_a_state_without_insert_skips_late_steps_too(spark):
+    feed = [(1, v, v, f"a{v}" if v % 2 else None, f"b{v}" if v % 3 else None, "update", "") for v in range(1, 9)] + [(2, v, v, f"a{v}", None, "insert" if v == 2 else "update", "") for v in range(1, 9)]
+    make = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    whole = as_dict(run(make(feed), True))
+    # what the state has seen comes again, along with a late change that it has not seen and what is new
+    state = run(make([r for r in feed if r[1] <= 5 and r[1] != 3]), True)
+    late = as_dict(run(make(feed), True, state))
+    assert late[2] == whole[2] and late[1] == ("a7", "b8", 8, 8)
+    only = run(make([(1, 5, 0, "x", None, "update", "")]), True)
+    assert as_dict(run(make([(1, 3, 0, None, "late", "update", "")]), True, only)) == {1: ("x", None, 5, 0)}
+
+
 def test_empty_feed_and_null_sequence(spark):
     assert run(spark.createDataFrame([], SCHEMA), False).count() == 0
     df = spark.createDataFrame([(1, None, None, "first", None, "insert", ""), (1, 1, None, "second", None, "update", "")], SCHEMA)
@@ -62,7 +74,7 @@ def test_empty_feed_and_null_sequence(spark):
 def test_batches_that_cut_a_key(spark):
     import pyarrow as pa
 
-    cols = {"id": [1, 1, 1, 2], "v": [1, 2, 3, 1], "__present": [True] * 4, "__reset": [True, False, False, True], "a": ["x", None, "z", "w"], "__set_a": [True, False, True, True]}
+    cols = {"id": [1, 1, 1, 2], "v": [1, 2, 3, 1], "__present": [True] * 4, "__reset": [True, False, False, True], "__state": [False] * 4, "a": ["x", None, "z", "w"], "__set_a": [True, False, True, True]}
     t = pa.table(cols)
     out = list(_folder(["id"], ["v"], ["a"])(b for b in t.to_batches(max_chunksize=1)))
     assert [(r["id"], r["v"], r["a"], r["__reset"]) for b in out for r in b.to_pylist()] == [(1, 3, "z", True), (2, 1, "w", True)]
