@@ -22,7 +22,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     s = table(spark, sf_dir, "sales").where("load_id IS NOT NULL")
     ok = F.coalesce(F.col("amount").rlike(AMOUNT), F.lit(False))
-    # cents beyond 18 digits count as the greatest or least value
+    # cents beyond 18 digits count as the greatest or least value, which is out of bounds and not shown as a bound
     far = F.when(F.col("amount").startswith("-"), F.lit(-(10**18))).otherwise(F.lit(10**18))
     cents = F.coalesce(F.expr("try_cast(replace(amount, '.', '') AS BIGINT)"), far)
     return s.select(
@@ -44,21 +44,24 @@ def _log_bin(x: Column, base: float, first: int, top: int) -> Column:
     return (F.lit(first) + F.least(F.floor(F.log1p(x) / F.log(F.lit(base))), F.lit(top - first))).cast("int")
 
 
-def _amount_bin() -> Column:
-    return F.when(~F.col("f_amount") | F.col("f_amount").isNull(), 0).when(F.col("cents").isNull(), 1).when(F.col("cents") < 0, 2).otherwise(_log_bin(F.col("cents") / 100.0, 2.25, 3, 15))
+def _bins() -> dict[str, tuple[Column, int]]:
+    """Coarse bins for the model of all columns: what is filled, well-formed, and about how large."""
+    txn = F.when(F.col("ok_txn"), 2).when(F.col("f_txn"), 1).otherwise(0)
+    amount = F.when(~F.col("f_amount") | F.col("f_amount").isNull(), 0).when(F.col("cents").isNull(), 1).when(F.col("cents") < 0, 2).otherwise(_log_bin(F.col("cents") / 100.0, 2.25, 3, 15))
+    age = F.when(F.col("age").isNull(), 0).when(F.col("age") < 0, 1).otherwise(_log_bin(F.col("age") / (DAY_US / 4.0), 1.6, 2, 15))
+    return {"transaction_id": (txn, 3), "amount": (amount, 16), "record_date": (age, 16)}
 
 
-def _age_bin() -> Column:
-    return F.when(F.col("age").isNull(), 0).when(F.col("age") < 0, 1).otherwise(_log_bin(F.col("age") / (DAY_US / 4.0), 1.6, 2, 15))
-
-
-def _txn_bin() -> Column:
-    return F.when(F.col("ok_txn"), 2).when(F.col("f_txn"), 1).otherwise(0)
+def _fine() -> dict[str, Column]:
+    """Bins of single columns, narrower than a shift: values of one bin are at most 1.2 times apart, or less than a day."""
+    c = F.col("cents")
+    size = (F.lit(1) + F.floor(F.log(F.abs(c).cast("double")) / F.log(F.lit(1.2)))).cast("long")
+    return {"amount": F.when(c == 0, F.lit(0).cast("long")).when(c > 0, size).when(c < 0, -size), "record_date": F.floor(F.col("age") / F.lit(DAY_US))}
 
 
 def _tests(rows: DataFrame) -> DataFrame:
-    bins = {"transaction_id": (_txn_bin(), 3, 3), "amount": (_amount_bin(), 16, 2), "record_date": (_age_bin(), 16, 1)}
-    return cut(load_tests(rows, "load_id", "_source_system", bins, F.pmod(F.xxhash64("transaction_id", "amount", "record_date"), F.lit(2))), "tests")
+    fold = F.pmod(F.xxhash64("transaction_id", "amount", "record_date"), F.lit(2))
+    return cut(load_tests(rows, "load_id", "_source_system", _bins(), fold, _fine()), "tests")
 
 
 def _base(rows: DataFrame) -> DataFrame:
@@ -76,8 +79,8 @@ def _base(rows: DataFrame) -> DataFrame:
         n(F.col("record_date").isNotNull() & ((F.col("age") < 0) | (F.col("age") > 120 * DAY_US))).alias("out_record_date"),
         F.min(F.when(F.col("f_txn"), F.col("transaction_id"))).alias("min_transaction_id"),
         F.max(F.when(F.col("f_txn"), F.col("transaction_id"))).alias("max_transaction_id"),
-        F.min("cents").alias("min_amount"),
-        F.max("cents").alias("max_amount"),
+        F.min(F.when(F.abs("cents") < 10**18, F.col("cents"))).alias("min_amount"),
+        F.max(F.when(F.abs("cents") < 10**18, F.col("cents"))).alias("max_amount"),
         F.min("record_date").alias("min_record_date"),
         F.max("record_date").alias("max_record_date"),
     )
@@ -90,25 +93,35 @@ def _values(rows: DataFrame, column: str, filled: str) -> DataFrame:
 
 
 def _shifts(rows: DataFrame, tests: DataFrame) -> DataFrame:
-    """(load, column): loads whose exact median has moved against the load before, whatever the classifier says of the pair."""
+    """(load, column): the pairs of loads that the model of the column tells apart, in which the exact median has moved.
+
+    Where the model does not tell them apart, each bin holds the same share of both, the middle values lie in the same bins
+    and the median cannot have moved. Below zero a ratio says nothing of a distance, so a middle value there passes too.
+    """
+    names = list(_fine())
+    told = F.array(*(F.when(F.col(f"differs_{c}") | (F.col("lo_amount") < 0 if c == "amount" else F.lit(False)), F.lit(c)) for c in names))
+    pairs = tests.where("prev IS NOT NULL").select("load", "prev", F.explode(told).alias("column")).where("column IS NOT NULL")
+    ask = pairs.select("load").union(pairs.select("prev")).distinct()
+    wanted = tests.join(ask, "load", "left_semi")
     small = plan_bytes(tests) <= BROADCAST_BYTES
+    fine = _fine()
     values = rows.select(
         F.col("load_id").alias("load"),
-        F.explode(
+        F.inline(
             F.array(
-                F.struct(F.lit("amount").alias("column"), _amount_bin().alias("bin"), F.col("cents").alias("value")),
-                F.struct(F.lit("record_date").alias("column"), _age_bin().alias("bin"), F.col("age").alias("value")),
+                F.struct(F.lit("amount").alias("column"), fine["amount"].alias("bin"), F.col("cents").alias("value")),
+                F.struct(F.lit("record_date").alias("column"), fine["record_date"].alias("bin"), F.col("age").alias("value")),
             )
-        ).alias("v"),
-    ).select("load", "v.*").where("value IS NOT NULL")
-    med = cut(exact_medians(values, F.broadcast(tests) if small else tests, COLUMNS[1:]), "medians")
-    two = tests.select("load", "prev").join(med, "load").join(med.select(F.col("load").alias("prev"), "column", F.col("twice").alias("old")), ["prev", "column"])
+        ),
+    ).where("value IS NOT NULL")
+    med = cut(exact_medians(values, F.broadcast(wanted) if small else wanted, names), "medians")
+    two = pairs.join(med, ["load", "column"]).join(med.select(F.col("load").alias("prev"), "column", F.col("twice").alias("old")), ["prev", "column"])
     moved = F.when(F.col("column") == "amount", F.expr("2 * CAST(twice AS DECIMAL(30,0)) > 3 * CAST(old AS DECIMAL(30,0)) OR 3 * CAST(twice AS DECIMAL(30,0)) < 2 * CAST(old AS DECIMAL(30,0))")).otherwise(F.abs(F.col("twice") - F.col("old")) > 4 * DAY_US)
     return two.where(moved).select("load", F.col("column"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of every load: shifts by the exact medians of all loads, the rest by exact counts."""
+    """Findings of every load: shifts among the pairs that the classifier tells apart, the rest by exact counts."""
     rows = _rows(spark, sf_dir)
     base = _base(rows).join(_values(rows, "transaction_id", "f_txn"), "load", "left").join(_values(rows, "amount", "f_amount"), "load", "left")
     tests = [(c, "null_rate", f"rows - f_{c} > 0.05 * rows") for c in COLUMNS]
@@ -147,9 +160,13 @@ def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(F.col("load").alias("load_id"), F.col("prev").alias("load_before"), "rows", "auc", F.explode(F.array(*parts)).alias("x")).select("load_id", "load_before", "rows", "auc", "x.*")
 
 
-QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile}
-ORACLE = {
-    "p2_found": r"""
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact part of the profile."""
+    return p2_profile(spark, sf_dir).select("load_id", "load_before", "column_name", "rows", "null_rate", "distinct_values", "ill_formed", "out_of_bounds")
+
+
+QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile, "p2_counts": p2_counts}
+_LOADS = r"""
     WITH r AS (
       SELECT *, trim(transaction_id) <> '' AS ft, trim(amount) <> '' AS fa, regexp_full_match(transaction_id, 'TXN-[0-9]{8}-[0-9]{10}') AS okt,
              CASE WHEN regexp_full_match(amount, '-?[0-9]+\.[0-9]{2}') THEN CAST(replace(amount, '.', '') AS BIGINT) END AS cents,
@@ -164,6 +181,9 @@ ORACLE = {
     t AS (SELECT load_id, max(c) AS top FROM (SELECT load_id, amount, count(*) AS c FROM r WHERE fa GROUP BY 1, 2) GROUP BY 1),
     a AS (
       SELECT b.*, t.top, lag(ma) OVER w AS pa, lag(mg) OVER w AS pg FROM b LEFT JOIN t USING (load_id) WINDOW w AS (PARTITION BY sys ORDER BY b.load_id))
+"""
+ORACLE = {
+    "p2_found": _LOADS + r"""
     SELECT load_id, 'transaction_id' AS column_name, 'null_rate' AS finding FROM a WHERE n - ft > 0.05 * n
     UNION ALL SELECT load_id, 'amount', 'null_rate' FROM a WHERE n - fa > 0.05 * n
     UNION ALL SELECT load_id, 'record_date', 'null_rate' FROM a WHERE n - fd > 0.05 * n
@@ -174,5 +194,10 @@ ORACLE = {
     UNION ALL SELECT load_id, 'transaction_id', 'repeats' FROM a WHERE dt < 0.98 * ft
     UNION ALL SELECT load_id, 'amount', 'repeats' FROM a WHERE top > 0.1 * n
     UNION ALL SELECT load_id, 'amount', 'shift' FROM a WHERE 2 * ma > 3 * pa OR 3 * ma < 2 * pa
-    UNION ALL SELECT load_id, 'record_date', 'shift' FROM a WHERE abs(mg - pg) > 2 * 86400000000::DOUBLE"""
+    UNION ALL SELECT load_id, 'record_date', 'shift' FROM a WHERE abs(mg - pg) > 2 * 86400000000::DOUBLE""",
+    "p2_counts": _LOADS.rstrip().replace("b.*, t.top,", "b.*, t.top, CAST(da AS BIGINT) AS da, lag(b.load_id) OVER w AS pl,").replace("max(c) AS top", "max(c) AS top, count(*) AS da") + r""",
+    dd AS (SELECT load_id, CAST(count(DISTINCT record_date) AS BIGINT) AS dd FROM r GROUP BY 1)
+    SELECT load_id, pl AS load_before, 'transaction_id' AS column_name, CAST(n AS BIGINT) AS rows, 1 - ft / n AS null_rate, CAST(dt AS BIGINT) AS distinct_values, CAST(it AS BIGINT) AS ill_formed, CAST(NULL AS BIGINT) AS out_of_bounds FROM a
+    UNION ALL SELECT load_id, pl, 'amount', n, 1 - fa / n, coalesce(da, 0), ia, oa FROM a
+    UNION ALL SELECT load_id, pl, 'record_date', n, 1 - fd / n, dd, NULL, od FROM a JOIN dd USING (load_id)""",
 }
