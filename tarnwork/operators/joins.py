@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tarnwork.operators.shaping import dedup_latest
+
 
 def salted_join(large: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salt: int = 8) -> DataFrame:
     """Join with the keys of the large side spread over ``salt`` sub-keys. inner, left, left_semi and left_anti only: others
@@ -66,6 +68,8 @@ def valid_at(left: DataFrame, history: DataFrame, key: str, at: str, start: str,
     return j.select(*left.columns, *(F.when(live, F.col(c)).alias(c) for c in cols))
 
 
-def lookup_features(labels: DataFrame, features: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """Labels with features by key, unknown keys null; of repeated feature keys any one row counts."""
-    return labels.join(features.select(*keys, *names).dropDuplicates(keys), keys, "left")
+def lookup_features(labels: DataFrame, features: DataFrame, keys: list[str], names: list[str], order: list[Column | str] | None = None) -> DataFrame:
+    """Labels with features by key, unknown keys null. Of repeated feature keys the first in ``order`` counts, by default the
+    one with the greatest values."""
+    one = dedup_latest(features, keys, order or [F.desc_nulls_last(c) for c in names]).select(*keys, *names)
+    return labels.join(one, keys, "left")

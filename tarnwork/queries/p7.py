@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators.history import apply_snapshots, clean_versions
 from tarnwork.operators.snapshots import clean_snapshots
-from tarnwork.session import cut
+from tarnwork.session import cut, new_dir
 from tarnwork.sources.tables import table
+from tarnwork.sources.versioned import VersionedTable
 
 COLS = ["name", "address", "tier"]
 
@@ -21,7 +22,7 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions, snaps, days = _inputs(spark, sf_dir)
-    return apply_snapshots(versions, versions, snaps, days, "id", COLS)
+    return apply_snapshots(versions, versions, snaps, days, "id", COLS, days)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +40,23 @@ def p7_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = days.where("snapshot_dt % 2 = 0")
     early = snaps.where("snapshot_dt % 2 <> 0")
     before = cut(apply_snapshots(versions, versions, early, days.where("snapshot_dt % 2 <> 0"), "id", COLS), "history")
-    return apply_snapshots(before, versions, snaps, late, "id", COLS).withColumn("is_current", F.col("effective_end") == 0)
+    return apply_snapshots(before, versions, snaps, late, "id", COLS, days).withColumn("is_current", F.col("effective_end") == 0)
 
 
-QUERIES = {"p7_found": p7_found, "p7_history": p7_history, "p7_late": p7_late}
+def p7_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history as a versioned table: deliveries come in two lots, each of which replaces the touched chains in one commit,
+    and the second lot holds days before some of the first."""
+    versions, snaps, days = _inputs(spark, sf_dir)
+    store = VersionedTable(spark, new_dir(spark, "customer_history"))
+    store.commit(versions)
+    lots = ["snapshot_dt % 3 <> 0", "snapshot_dt % 3 = 0"]
+    for i, lot in enumerate(lots):
+        known = days.where(" OR ".join(lots[: i + 1]))
+        store.commit(apply_snapshots(store.read(), versions, snaps.join(F.broadcast(known), "snapshot_dt", "left_semi"), days.where(lot), "id", COLS, known))
+    return store.read().withColumn("is_current", F.col("effective_end") == 0)
+
+
+QUERIES = {"p7_found": p7_found, "p7_history": p7_history, "p7_late": p7_late, "p7_committed": p7_committed}
 _HISTORY = """
     WITH v0 AS (
       SELECT DISTINCT id, nullif(trim(name), '') AS name, nullif(trim(address), '') AS address, nullif(trim(tier), '') AS tier,
@@ -71,4 +85,4 @@ _HISTORY = """
       UNION ALL SELECT id, name, address, tier, s, e FROM v WHERE e <> 0)
 """
 _ALL = _HISTORY + "SELECT id, name, address, tier, effective_start, effective_end, effective_end = 0 AS is_current FROM h"
-ORACLE = {"p7_found": _HISTORY + "SELECT id, effective_start, effective_end FROM h", "p7_history": _ALL, "p7_late": _ALL}
+ORACLE = {"p7_found": _HISTORY + "SELECT id, effective_start, effective_end FROM h", "p7_history": _ALL, "p7_late": _ALL, "p7_committed": _ALL}

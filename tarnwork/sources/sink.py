@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.operators.dml import keep_other_partitions, replace_window, upsert
+from tarnwork.operators.shaping import dedup_latest
 from tarnwork.sources.versioned import VersionedTable
 
 MAX_RECORDS = 1_000_000
@@ -129,19 +130,21 @@ class FeatureTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], time: str | None = None):
         self.table, self.keys, self.time = VersionedTable(spark, path), keys, time
 
-    def write(self, df: DataFrame, mode: str = "merge") -> None:
+    def write(self, df: DataFrame, mode: str = "merge", order: list[Column | str] | None = None) -> None:
+        """``order``: of rows with one key the first counts; by default that with the greatest values, so that a run that is
+        repeated writes the same."""
         keys = [*self.keys, *([self.time] if self.time else [])]
+        one = dedup_latest(df, keys, order or [F.desc_nulls_last(c) for c in df.columns if c not in keys] or keys)
         if mode == "overwrite":
-            self.table.commit(df.dropDuplicates(keys))
+            self.table.commit(one)
         else:
-            merge_upsert(df.dropDuplicates(keys), self.table, keys)
+            merge_upsert(one, self.table, keys)
 
     def read(self, version: int | None = None) -> DataFrame:
         return self.table.read(version)
 
     def drop(self) -> None:
-        jvm, fs = self.table._fs()
-        fs.delete(jvm.org.apache.hadoop.fs.Path(self.table.path), True)
+        self.table.drop()
 
 
 _WRITERS: dict[str, Callable] = {"files": write_files, "table": write_table}

@@ -7,7 +7,7 @@ import pytest
 
 from tarnwork.operators.history import apply_snapshots, clean_versions
 from tarnwork.operators.snapshots import clean_snapshots
-from tarnwork.sources.versioned import VersionedTable
+from tarnwork.sources.versioned import ConcurrentCommit, VersionedTable
 
 D = dt.date
 DIM = "id long, name string, is_current boolean, effective_start date, effective_end date, k int"
@@ -85,3 +85,23 @@ def test_empty_inputs(spark):
     raw = spark.createDataFrame([], SNAP)
     out = apply_snapshots(versions, versions, clean_snapshots(raw, "id", "snapshot_dt", "updated_at", ["name"]), raw.select("snapshot_dt"), "id", ["name"])
     assert out.count() == 0
+
+
+def test_two_commits_from_one_version(spark, tmp_path):
+    one = VersionedTable(spark, str(tmp_path / "t"))
+    one.commit(spark.range(3))
+    other = VersionedTable(spark, str(tmp_path / "t"))
+    other.version = lambda: None  # as it was before the first commit
+    with pytest.raises(ConcurrentCommit):
+        other.commit(spark.range(9))
+    assert one.version() == 1 and one.read().count() == 3
+
+
+def test_adjacent_equal_versions_and_odd_days(spark):
+    dim = [(1, "a", True, D(2026, 1, 1), D(2026, 1, 20), 1), (1, "a", True, D(2026, 1, 20), None, 1), (2, "b", True, D(2026, 1, 31), None, 1), (3, "c", True, D(2027, 1, 1), None, 1)]
+    snaps = [(i, n, dt.datetime(2026, 1, 1), d, "x") for d in DAYS for i, n in ((1, "a"), (2, "b"))]
+    versions = clean_versions(spark.createDataFrame(dim, DIM), "id", ["name"])
+    raw = spark.createDataFrame(snaps, SNAP)
+    clean = clean_snapshots(raw, "id", "snapshot_dt", "updated_at", ["name"])
+    got = keyed(apply_snapshots(versions, versions, clean, raw.select("snapshot_dt"), "id", ["name"]))
+    assert {r for r in got if r[0] == 1} == {(1, "a", 20260101, 20260120), (1, "a", 20260120, 0)} and (3, "c", 20270101, DAYS[0]) in got
