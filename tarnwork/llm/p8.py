@@ -18,8 +18,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per item that leaked: documents holding it, those holding it nearly whole (edit similarity 0.8 or more), largest share."""
-    per = _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("edit_similarity") >= 0.8).alias("nearly_whole"), F.max("share").alias("largest_share"))
+    """Per item that leaked: documents holding it, those holding it nearly whole (edit similarity 0.8 or more), largest share, those the long windows alone would find."""
+    per = _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("edit_similarity") >= 0.8).alias("nearly_whole"), F.max("share").alias("largest_share"), F.count_if("found_with_edits").alias("found_with_edits"))
     return per.join(table(spark, sf_dir, "eval_items").select("item_id", "suite"), "item_id")
 
 
