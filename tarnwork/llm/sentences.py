@@ -1,10 +1,12 @@
 """Sentence units of texts in many languages, by document-centred disambiguation.
 
-A full stop is ambiguous: it ends a sentence, an abbreviation, or both. What stands unambiguously elsewhere decides: a word
-whose stop is followed by a comma or a small letter is an abbreviation there and everywhere in the document; one that closes
-paragraphs can end sentences; a word that opens paragraphs is a sentence starter; a capitalised word in the middle of a
-sentence is a name. The document is asked first, then the corpus (one pass that counts such occurrences), then a short list of
-common abbreviations. Scripts have their own terminators and rules; nothing depends on a language label.
+A full stop is ambiguous: it ends a sentence, an abbreviation, or both. What stands unambiguously elsewhere decides. The document
+is asked first: a word whose stop is followed by a comma or a small letter somewhere in it, and which never stands without its
+stop there, is an abbreviation in all of it; a word that stands in it without a stop is an ordinary one; a capitalised word in
+the middle of a sentence is a name. Where the document is silent, the corpus answers with the same evidence, counted in one pass
+over all documents: abbreviations, those that stand before numbers, whether they can end a sentence (they close paragraphs), and
+words that open sentences. Only where both are silent does a short list of common abbreviations count. Scripts have their own
+terminators and rules; nothing depends on a language label.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +39,8 @@ NEVER_END = frozenset(
 #: They may stand at the end of a sentence as well as inside it.
 MAY_END = frozenset("etc ltd inc corp co jr u.s u.k e.u a.m p.m usw m.b.h ee.uu т.д т.п г руб др коп мин إلخ น".split())
 GERMAN_MONTHS = frozenset("Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split())
-GERMAN_WORDS = frozenset("der die das und nicht ist wurde mit für den dem ein eine wir auf zum am im zu von bis bei war sind warum siehe laut um kamen fehlten".split())
+#: The commonest function words of German.
+GERMAN_WORDS = frozenset("der die das den dem des ein eine einen und oder aber nicht auch ist sind war wird wurde werden hat für mit von bei auf aus zum zur am im zu nach über als wie wir sie".split())
 
 STRONG = "。！？｡．؟۔।॥"
 TERM = ".!?…" + STRONG
@@ -59,6 +64,8 @@ _L = "(?:[^\\W\\d_][\u0300-\u036f\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u
 _PART = re.compile(f"{_L}{{1,3}}\\.")
 _EDGE = re.compile("[\"“”„«»‹›「」『』()（）\\[\\]［］{}【】《》〈〉,;!?…。、，：；！？]")
 #: Words of scripts with blanks; Han, kana and compatibility characters end one.
+_CODE = re.compile("[A-Z]{2,}\\d+")
+_APART = re.compile("[’'\\-]")
 _WORD = re.compile(f"(?:(?![\u3040-\u9fff\uf900-\ufaff])(?:{_L}|[\\w.\\-’']))*(?![\u3040-\u9fff\uf900-\ufaff])(?:{_L}|\\w)")
 
 
@@ -125,12 +132,18 @@ def enclosed(t: str) -> list[tuple[int, int]]:
     return out
 
 
+_PLAIN = re.compile("[A-Za-z\u00c0-\u024f\u0400-\u04ff]+(?=[ ,;:\n])")
+
+
 def starter(t: str, i: int) -> str:
     """What stands at ``i``, for comparing sentence starts: a word, two characters of a script without blanks, or a class."""
+    m = _PLAIN.match(t, i)
+    if m:
+        return m[0]
     c = t[i : i + 1]
     if c.isdigit():
         return "<num>"
-    if "぀" <= c <= "鿿" or "豈" <= c <= "﫿":
+    if "\u3040" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff":
         return t[i : i + 2]
     m = _WORD.match(t, i)
     if not m:
@@ -138,25 +151,48 @@ def starter(t: str, i: int) -> str:
     w = m[0]
     if _NAMED.search(w):
         return "<id>"
-    return "<code>" if re.fullmatch(r"[A-Z]{2,}\d+", w) else re.split(r"[’'\-]", w)[0]
+    return "<code>" if _CODE.fullmatch(w) else _APART.split(w)[0]
 
 
 @dataclass
 class Knowledge:
-    """What the corpus says: sentence starters, and abbreviations with whether they can end a sentence."""
+    """What the corpus says of words, in small letters: sentence starters (as written); abbreviations, with whether they can
+    end a sentence; those of them that stand before numbers; and the forms (as written) that stand without a stop more often
+    than with one."""
 
     starters: frozenset[str] = frozenset()
     abbreviations: dict[str, bool] = field(default_factory=dict)
-    #: Listed words, as they are written, that stand without a stop more often than with one.
     ordinary: frozenset[str] = frozenset()
+    numbered: frozenset[str] = frozenset()
+
+    def __post_init__(self) -> None:
+        #: Words that are looked at closely.
+        self.doubtful = frozenset(self.abbreviations) | NEVER_END | MAY_END
+
+
+_STOP = re.compile(r"\.(?=(\s*)(\S?))")
+_STRONG_START = re.compile(r"[。！？।؟]\s*(?=\w)")
+_LETTERS = re.compile(f"(?:{_L}|\\.)+")
+_OUTER = "\"“”„«»‹›「」『』‘’'()（）[]［］{}【】《》〈〉,;:!?…。、，：；！？*#|"
 
 
-_DOTTED = re.compile(f"(?<![\\w.])({_L}{{1,6}})\\.(?=(\\s*)(\\S?)(\\S*))")
-_SHORT = re.compile(f"(?<![\\w.]){_L}{{1,6}}(?![\\w.])")
+def _word(form: str) -> bool:
+    """Does ``form`` hold letters, their marks and stops only?"""
+    return form.isalpha() or (len(form) <= 24 and _LETTERS.fullmatch(form) is not None and form != ".")
 
 
-def observe(text: str, seen: Counter, bare: Counter) -> None:
-    """Count the unambiguous occurrences of one text, (kind, word), and its short words that have no stop behind them."""
+def _form(t: str, lo: int, stop: int) -> str:
+    """The word before the stop at ``stop``, with the parts of an abbreviation written apart."""
+    w = t[max(t.rfind(" ", lo, stop) + 1, lo) : stop]
+    if len(w) > 3 and w.isalpha():
+        return w
+    near = t[max(lo, stop - 40) : stop]
+    return _before(near if near.isascii() else near.translate(_HIDDEN))
+
+
+def observe(text: str, seen: Counter, tokens: Counter) -> None:
+    """Count the unambiguous occurrences of one text, (kind, word): what opens it, and what follows the stop of a word (the
+    end of a block, a comma, a small letter, a number, anything else). ``tokens`` counts what stands between blanks."""
     for s, e, item in blocks(text):
         t = text[s:e].rstrip(_TRIM)
         i = len(t) - len(t.lstrip(_TRIM))
@@ -165,135 +201,162 @@ def observe(text: str, seen: Counter, bare: Counter) -> None:
         w = starter(t, i)
         if w and not (item and w[:1].islower()):
             seen["start", w] += 1
-        for m in re.finditer(r"[。！？।؟][\s]*(?=\w)", t):
+        for m in _STRONG_START.finditer(t):
             seen["start", starter(t, m.end())] += 1
-        for m in _DOTTED.finditer(t):
-            w, gap, c, rest = m[1].lower(), m[2], m[3], m[4]
+        for m in _STOP.finditer(t):
+            gap, c = m[1], m[2]
+            i = m.start()
+            if (not gap and c and c not in ",;:") or not i or t[i - 1] in ". ":
+                continue
+            form = _form(t, 0, i)
+            if not form or form[-1].isdigit() or not _word(form):
+                continue
             if not c:
-                seen["end", w] += 1
+                kind = "end"
             elif c in ",;:":
-                seen["inside", w] += 1
-            elif gap and c.islower() and not _NAMED.search(c + rest):
-                seen["inside", w] += 1
-            elif gap:
-                seen["open", w] += 1
-            if w in NEVER_END:
-                seen["dotted", m[1]] += 1
-        bare.update(_SHORT.findall(t.lower()))
-        seen.update(("plain", w) for w in _SHORT.findall(t) if w.lower() in NEVER_END)
-
-
-def learn(docs: DataFrame, rare: float = 2e-5) -> Knowledge:
+                kind = "comma"
+            elif c.isdigit():
+                kind = "num"
+            elif c.islower() and not _NAMED.search(t[m.end(1) : m.end(1) + 40].split(None, 1)[0]):
+                kind = "small"
+            else:
+                kind = "open"
+            seen[kind, form] += 1
+    if "." in text:
+        tokens.update(text.split())
+
+
+def _bare(tokens: Counter) -> Counter:
+    """Words without a stop behind them, from tokens with the marks around them."""
+    out: Counter = Counter()
+    for w, n in tokens.items():
+        if len(w) <= 24:
+            w = w.strip(_OUTER)
+            if w.isalpha() or (w and w[-1] != "." and "." not in w and _word(w)):
+                out[w] += n
+    return out
+
+
+_KINDS = ["start", "end", "comma", "small", "num", "open", "bare"]
+#: A small letter behind a stop speaks for an abbreviation only of words up to this length: some texts have no capitals.
+SHORT = 6
+
+
+def learn(docs: DataFrame, rare: float = 5e-6) -> Knowledge:
     """Corpus knowledge from all texts. Kept are starters that make up at least ``rare`` of all starts (and stand 3 times), so
     at most 1 / ``rare`` of them, and abbreviations by the same rule, whatever the size of the corpus."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, bare = Counter(), Counter()
+        seen, tokens = Counter(), Counter()
 
         def flush() -> pd.DataFrame:
-            rows = [(*k, n) for k, n in seen.items()] + [("bare", w, n) for w, n in bare.items()]
+            rows = [(k, w, w if k == "start" else w.lower(), n) for (k, w), n in seen.items()] + [("bare", w, w.lower(), n) for w, n in _bare(tokens).items()]
             seen.clear()
-            bare.clear()
-            return pd.DataFrame(rows, columns=["kind", "word", "n"])
+            tokens.clear()
+            return pd.DataFrame(rows, columns=["kind", "form", "low", "n"])
 
         for pdf in batches:
             for t in pdf["text"]:
-                observe(t, seen, bare)
-            if len(seen) + len(bare) > 200_000:
+                observe(t, seen, tokens)
+            if len(seen) + len(tokens) > 200_000:
                 yield flush()
         yield flush()
 
-    per = docs.select("text").where("text IS NOT NULL").mapInPandas(count, "kind string, word string, n long").groupBy("word").pivot("kind", ["start", "end", "inside", "open", "bare", "dotted", "plain"]).agg(F.sum("n")).na.fill(0)
+    per = docs.select("text").where("text IS NOT NULL").mapInPandas(count, "kind string, form string, low string, n long").groupBy("form", "low").pivot("kind", _KINDS).agg(F.sum("n")).na.fill(0)
     per = cut(per, "words")
-    total = per.agg(F.sum("start"), F.sum(F.col("end") + F.col("inside") + F.col("open"))).first()
-    starts = per.where((F.col("start") >= 3) & (F.col("start") >= rare * (total[0] or 0))).select("word")
-    dots = F.col("end") + F.col("inside") + F.col("open")
-    # seen inside a sentence often, or, being short, never at an end and hardly ever without the stop
-    often = F.col("inside") >= F.lit(0.3) * dots
+    forms = per.where("start = 0 OR form = low").select("*", (F.col("end") + F.col("comma") + F.col("small") + F.col("num") + F.col("open")).alias("dots"))
+    words = per.where("end + comma + small + num + open + bare > 0").groupBy(F.lower("low").alias("word")).agg(*(F.sum(k).alias(k) for k in _KINDS[1:]))
+    dots = F.col("end") + F.col("comma") + F.col("small") + F.col("num") + F.col("open")
+    total = per.agg(F.sum("start"), F.sum(dots)).first()
+    starts = per.where((F.col("start") >= 3) & (F.col("start") >= rare * (total[0] or 0))).select("form")
+    inside = F.col("comma") + F.when(F.length("word") <= SHORT, F.col("small")).otherwise(0)
+    # seen inside a sentence often, or before numbers, or, being short, never at an end and hardly ever without the stop
+    often = (inside >= F.lit(0.3) * dots) & (F.col("bare") <= 2 * dots)
     always = (F.length("word") <= 4) & (dots >= 10) & (F.col("end") <= 0.01 * dots) & (F.col("bare") <= 0.05 * dots)
-    short = per.where((dots >= 3) & (dots >= rare * (total[1] or 0)) & (often | always) & (F.col("bare") <= 2 * dots)).select("word", (F.col("end") > 0.03 * dots).alias("ends"))
-    ordinary = per.where(F.col("plain") > F.col("dotted")).select("word")  # of the list, so few
-    return Knowledge(frozenset(r.word for r in starts.collect()), {r.word: r.ends for r in short.collect()}, frozenset(r.word for r in ordinary.collect()))
+    number = (F.col("num") >= 0.5 * dots) & (dots >= 5)
+    known = words.where((dots >= 3) & (dots >= rare * (total[1] or 0)) & (often | always | number)).select("word", (F.col("end") > 0.03 * dots).alias("ends"), number.alias("numbered")).collect()
+    names = [r.word for r in known]
+    doubtful = docs.sparkSession.createDataFrame([(w,) for w in sorted({*names, *NEVER_END, *MAY_END})], "low string")
+    ordinary = forms.join(F.broadcast(doubtful), "low", "left_semi").where("bare > dots").select("form")  # of at most 1 / rare words
+    return Knowledge(frozenset(r.form for r in starts.collect()), {r.word: r.ends for r in known}, frozenset(r.form for r in ordinary.collect()), frozenset(r.word for r in known if r.numbered))
+
+
+_FOLLOWED = re.compile(r"\.(?:\s*[,;:]|\s+(?=[^\W\d_]))")
+_MID_NAME = re.compile(r"(?<=[\w,] )[^\W\d_a-z]\w+")
+_LATIN_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _stands(text: str, w: str) -> bool:
+    """Does ``w`` stand in ``text`` as a word, without a stop on either side?"""
+    i = text.find(w)
+    while i >= 0:
+        j = i + len(w)
+        if not (i and (text[i - 1].isalnum() or text[i - 1] in "_.")) and not (j < len(text) and (text[j].isalnum() or text[j] in "_.")):
+            return True
+        i = text.find(w, j)
+    return False
 
 
 class _Document:
-    """What one document says about its own words; asked only where a stop is in doubt."""
+    """What one document says about its own words; asked first, and only where a stop is in doubt."""
 
     def __init__(self, text: str, know: Knowledge):
         self.text, self.know = text, know
-        self._words: set[str] | None = None
-        self._inside: dict[str, bool] = {}
-        low = text.lower()
-        # a letter whose small form is longer (U+0130) stays as it is, so that places are those of the text
-        self._low = low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        self._low: str | None = None
+        self._german: bool | None = None
         self._names: set[str] | None = None
         self._bare: dict[str, bool] = {}
+        #: Words whose stop stands inside a sentence here.
+        self.inside: set[str] = set()
+        for m in _FOLLOWED.finditer(text):
+            i, j = m.span()
+            comma = text[j - 1] in ",;:"
+            if i and (comma or text[j].islower()) and text[i - 1] not in ". ":
+                w = _form(text, max(0, i - 60), i)
+                if not w or not _word(w) or (not comma and (len(w) > SHORT or _NAMED.search(text[j : j + 40].split(None, 1)[0]))):
+                    continue
+                self.inside.add(w.lower())
 
     @property
     def german(self) -> bool:
-        if self._words is None:
-            self._words = set(re.findall(r"[^\W\d_]+", self.text))
-        return len(GERMAN_WORDS & self._words) >= 2
-
-    def inside(self, w: str) -> bool:
-        """Does the stop of ``w`` stand inside a sentence somewhere here, and ``w`` never without it?"""
-        got = self._inside.get(w)
-        if got is None:
-            got = self._inside[w] = self._look(w)
-        return got
-
-    def _look(self, w: str) -> bool:
-        low, text, n = self._low, self.text, len(self.text)
-        found, i = False, low.find(w)
-        while i >= 0:
-            j = i + len(w)
-            if not (i and (low[i - 1].isalnum() or low[i - 1] in "_.")):
-                if low[j : j + 1] == ".":
-                    k = j + 1
-                    while k < n and text[k].isspace():
-                        k += 1
-                    if k < n and (text[k] in ",;:" or (k > j + 1 and text[k].islower() and not _NAMED.search(text[k : k + 40].split(None, 1)[0]))):
-                        found = True
-                elif not (low[j : j + 1].isalnum() or low[j : j + 1] == "_"):
-                    return False
-            i = low.find(w, j)
-        return found
+        if self._german is None:
+            self._german = len(GERMAN_WORDS.intersection(_LATIN_WORD.findall(self.text))) >= 3
+        return self._german
 
     def name(self, w: str) -> bool:
         """Does ``w`` stand here capitalised in the middle of a sentence?"""
         if self._names is None:
-            self._names = set(re.findall(r"(?<=[\w,] )[^\W\d_a-z]\w+", self.text))
+            self._names = set(_MID_NAME.findall(self.text))
         return w in self._names
 
-    def bare(self, form: str) -> bool:
-        """Does ``form``, as it is written, stand here without a stop?"""
-        got = self._bare.get(form)
+    def bare(self, w: str, low: bool = False) -> bool:
+        """Does ``w``, as it is written or (``low``) in any case, stand here without a stop?"""
+        got = self._bare.get((w, low))
         if got is None:
-            got = self._bare[form] = re.search(f"(?<![\\w.]){re.escape(form)}(?![\\w.])", self.text) is not None
+            if low and self._low is None:
+                self._low = self.text.lower()
+            got = self._bare[w, low] = _stands(self._low if low else self.text, w)
         return got
 
-    def abbreviation(self, form: str) -> bool | None:
-        """None: no abbreviation; else whether it can end a sentence. What only the document calls one can, before a starter.
-
-        The document is asked first, then the corpus, then the lists. A listed word that the document, or the corpus where
-        the document is silent, uses as an ordinary word can end a sentence, before a starter.
-        """
-        w = form.lower()
-        last = w.rsplit(".", 1)[-1]
-        x = next((x for x in (w, last) if x in MAY_END or x in NEVER_END), None)
-        if x is None:
-            if w in self.know.abbreviations:
-                return self.know.abbreviations[w]
-            return True if self.own(w) else None
-        if x in MAY_END:
-            return True
-        if x == w and not self.inside(w) and (self.bare(form) or form in self.know.ordinary):
-            return True
-        return bool(self.know.abbreviations.get(x, False)) and x not in ("mr", "mrs", "ms", "dr", "prof", "no", "fig")
-
-    def own(self, w: str) -> bool:
-        """Is ``w`` an abbreviation by this document alone?"""
-        return w not in MAY_END and w not in self.know.abbreviations and len(w) <= 6 and w.isalpha() and self.inside(w)
+    def own(self, low: str) -> bool:
+        """Is ``low`` an abbreviation by this document?"""
+        return low in self.inside and not self.bare(low, True)
+
+    def abbreviation(self, form: str) -> tuple[bool, bool] | None:
+        """None: an ordinary word. Else whether it can end a sentence, and whether then only before a known starter (not
+        before numbers or small letters): so do words that are usually ordinary, or that stand before numbers."""
+        low = form.lower()
+        last = low.rsplit(".", 1)[-1]
+        word = low if low in self.know.doubtful else last if last in self.know.doubtful else None
+        mine = self.own(low)
+        if word is None:
+            return (True, False) if mine else None
+        if not mine and word == low and (self.bare(form) or form in self.know.ordinary) and low not in MAY_END:
+            return True, True
+        ends = self.know.abbreviations.get(word)
+        if ends is None:
+            ends = word in MAY_END
+        return ends, word in self.know.numbered
 
 
 def _before(t: str) -> str:
@@ -310,6 +373,17 @@ def _before(t: str) -> str:
     return w
 
 
+_DIGITS = re.compile(r"\d{1,2}")
+_INITIAL = re.compile(r"(?:\w\.)*[A-ZА-ЯЁ]")
+#: A number before a single small letter, which then is a unit (5 h).
+_UNIT = re.compile(r"\d[ \xa0]?\Z")
+_SINGLES = re.compile(r"(?:[^\W\d_]\.)*[^\W\d_]")
+_INNER_END = re.compile(f"([{re.escape(TERM)}]+)[\"”’»)）」』]*\\Z")
+_STRONG_SET = frozenset(STRONG)
+_SEEN = re.compile(r"[^\W_]")
+_THAI_LETTER = re.compile("[\u0e00-\u0e7f]")
+
+
 def _is_end(doc: _Document, t: str, term: str, stop: int, end: int, quoted: int | None, unit: int) -> bool:
     """Does a unit end at ``end``, behind the terminators ``term`` (which begin at ``stop``) and closing marks? ``quoted``: where
     the quotation or bracket opened that closes here. ``unit``: the start of the unit."""
@@ -322,15 +396,24 @@ def _is_end(doc: _Document, t: str, term: str, stop: int, end: int, quoted: int
     c, gap = t[nxt], nxt > end
     if c in _PAUSE or (c in _CLOSERS and c not in _OPENERS):
         return False
+    strong = not _STRONG_SET.isdisjoint(term)
+    if quoted is None:
+        if strong:
+            return True
+        if gap and c.isupper():  # the common case: nothing is in doubt
+            if term[0] in "!?":
+                return True
+            if term == ".":
+                w = t[max(t.rfind(" ", unit, stop) + 1, unit) : stop]
+                if len(w) > 3 and w.isalpha() and (w := w.lower()) not in doc.inside and w not in doc.know.doubtful:
+                    return True
     first = nxt
     while first < n and t[first] in _OPENERS:
         first += 1
     word = starter(t, first)
     known = word in doc.know.starters
     f = t[first : first + 1]
-    if any(x in STRONG for x in term):
-        if quoted is None:
-            return True
+    if strong:
         return known or (not t[unit:quoted].strip(_TRIM) and t[quoted] in "(（[［【")
     if c == "-" or not word:
         return False if c == "-" else gap
@@ -340,31 +423,30 @@ def _is_end(doc: _Document, t: str, term: str, stop: int, end: int, quoted: int
             return known
         glued = upper and (t[first + 1 : first + 2].islower() or t[first + 1 : first + 2] == ".") and known
         return glued and (t[max(stop - 2, 0) : stop].islower() or t[stop - 1 : stop].isdigit() or quoted is not None)
-    if lower:
-        opens = word == "<id>" or known
-    else:
-        opens = True
+    opens = not lower or word == "<id>" or known
     if quoted is not None:
         return opens if upper or lower or f.isdigit() else known
     if term != ".":
         return opens or "…" not in term and ".." not in term
-    near = t[max(unit, stop - 40) : stop]
-    w = _before(near if near.isascii() else near.translate(_HIDDEN))
-    if re.fullmatch(r"\d{1,2}", w) and not lower and (word in GERMAN_MONTHS or doc.german):
+    w = _form(t, unit, stop)
+    if _DIGITS.fullmatch(w) and not lower and (word in GERMAN_MONTHS or doc.german):
         return not f.isalpha() or (word not in GERMAN_MONTHS and known)
     low = w.lower()
-    if re.fullmatch(r"(?:\w\.)*[A-ZА-ЯЁ]", w) and low not in MAY_END:
-        return False  # initials
-    ends = doc.abbreviation(w) if low else None
-    if ends is None:
-        if re.fullmatch(r"(?:[^\W\d_]\.)*[^\W\d_]", w) and low not in MAY_END:
+    said = doc.abbreviation(w) if low else None
+    if said is None or (not said[0] and not doc.own(low)):
+        if _INITIAL.fullmatch(w) or said is not None:
             return False
+        if _SINGLES.fullmatch(w):
+            return known and (upper or f.isdigit()) and w.islower() and _UNIT.search(t, max(unit, stop - 4), stop - 1) is not None
         # a small letter behind an ordinary word: text that was put into small letters
         return opens or (len(low) >= 3 and low.isalpha()) or t[stop - 1 : stop] == ")"
+    if len(w) == 1 and w.isupper():
+        return False  # an initial
+    ends, only_known = said
     if not ends:
         return False
-    if low in NEVER_END and not doc.know.abbreviations.get(low):
-        return upper and known  # a listed word that is an ordinary one here; before a number or a small letter it abbreviates
+    if only_known:
+        return upper and known
     if lower:
         return opens
     if upper and not doc.german and not doc.own(low):
@@ -378,9 +460,11 @@ def sentence_ends(text: str | None, know: Knowledge = Knowledge()) -> list[tuple
         return []
     doc = _Document(text, know)
     out: list[tuple[int, int]] = []
+    marks, thai_text = _MARKS.search(text) is not None, _THAI_LETTER.search(text) is not None
     for s, e, _ in blocks(text):
         t = text[s:e].rstrip(_TRIM)
-        pairs = enclosed(t)
+        n = len(t)
+        pairs = enclosed(t) if marks else []
         opens = [a for a, _ in pairs]
 
         def within(i: int) -> bool:
@@ -389,56 +473,63 @@ def sentence_ends(text: str | None, know: Knowledge = Knowledge()) -> list[tuple
 
         spots: list[tuple[int, int, str, int | None]] = []  # end, stop, terminators, opening mark
         for m in _TERMS.finditer(t):
-            if not within(m.start()):
-                end = m.end()
-                while end < len(t) and t[end] in _CLOSERS and not within(end):
+            stop, end = m.span()
+            if not pairs or not within(stop):
+                while end < n and t[end] in _CLOSERS and not (pairs and within(end)):
                     end += 1
-                spots.append((end, m.start(), m[0], None))
-        for a, b in pairs:
-            inner = t[a + 1 : b].rstrip(_TRIM)
-            m = re.search(f"[{re.escape(TERM)}]+[\"”’»)）」』]*\\Z", inner)
-            if m:
-                spots.append((b + 1, a + 1 + m.start(), re.sub(f"[^{re.escape(TERM)}]", "", m[0]), a))
-        spots.sort()
-        unit = 0
+                if end < n:
+                    spots.append((end, stop, m[0], None))
+        if pairs:
+            for a, b in pairs:
+                m = _INNER_END.search(t[a + 1 : b].rstrip(_TRIM))
+                if m and b + 1 < n:
+                    spots.append((b + 1, a + 1 + m.start(), m[1], a))
+            spots.sort()
         cuts: list[int] = []
-        thai = [(m.start(), None) for m in _THAI.finditer(t) if not within(m.start())] if "฀" <= max(t, default="") else []
-        for end, stop, term, quoted in [*spots, *((i, i, "", None) for i, _ in thai)]:
-            if not term:
-                cuts.append(end)
-            elif end < len(t) and _is_end(doc, t, term, stop, end, quoted, max([c for c in cuts[-1:] if c <= stop], default=0)):
+        for end, stop, term, quoted in spots:
+            if _is_end(doc, t, term, stop, end, quoted, cuts[-1] if cuts and cuts[-1] <= stop else 0):
                 cuts.append(end)
+        if thai_text:
+            cuts = sorted({*cuts, *(m.start() for m in _THAI.finditer(t) if not within(m.start()))})
+        cuts.append(n)
         unit = 0
-        for end in sorted({*cuts, len(t)}):
+        for end in cuts:
             piece = t[unit:end]
-            body = piece.strip(_TRIM)
-            if not body:
+            body = piece.lstrip(_TRIM)
+            a = s + end - len(body)
+            size = len(body.rstrip(_TRIM))
+            if not size:
                 continue
-            a = s + unit + len(piece) - len(piece.lstrip(_TRIM))
-            b = s + unit + len(piece.rstrip(_TRIM))
-            if unit and not any(ch.isalnum() for ch in body):
-                out[-1] = (out[-1][0], b)  # marks alone go to the unit before
+            if unit and not body[0].isalnum() and _SEEN.search(t, unit, end) is None:
+                out[-1] = (out[-1][0], a + size)  # marks alone go to the unit before
             else:
-                out.append((a, b))
+                out.append((a, a + size))
             unit = end
     return out
 
 
-_OUT = "doc_id long, sent_no int, sent_start int, sent_end int, sentence string"
-
-
-def split_sentences(docs: DataFrame, know: Knowledge | None = None) -> DataFrame:
+def split_sentences(docs: DataFrame, know: Knowledge | None = None, with_text: bool = True) -> DataFrame:
     """(doc_id, sent_no, sent_start, sent_end, sentence) of documents (doc_id, text); places are 1-based code points.
 
     Null texts and texts without visible characters have no rows. ``know``: corpus knowledge; without it, it is learnt from
-    ``docs``. Documents are independent, so nothing is shuffled but the word counts of the corpus pass.
+    ``docs``. ``with_text``: false leaves the column ``sentence`` out. Documents are independent, so nothing is shuffled but
+    the word counts of the corpus pass.
     """
     know = learn(docs) if know is None else know
     shared = docs.sparkSession.sparkContext.broadcast(know)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(d, i + 1, a + 1, b, t[a:b]) for d, t in zip(pdf["doc_id"], pdf["text"]) for i, (a, b) in enumerate(sentence_ends(t, shared.value))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
-
-    return docs.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(run, _OUT)
+    names = ["doc_id", "sent_no", "sent_start", "sent_end", *(["sentence"] if with_text else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            places = [sentence_ends(t, shared.value) for t in texts]
+            n = np.array([len(p) for p in places], np.int64)
+            flat = np.array([x for p in places for x in p], np.int32).reshape(-1, 2)
+            no = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1).astype(np.int32)
+            cols = [b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))).cast("int64"), pa.array(no), pa.array(flat[:, 0] + np.int32(1)), pa.array(flat[:, 1])]
+            if with_text:
+                cols.append(pa.array([t[x:y] for t, p in zip(texts, places) for x, y in p], "string"))
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    out = "doc_id long, sent_no int, sent_start int, sent_end int" + (", sentence string" if with_text else "")
+    return docs.select("doc_id", "text").where("text IS NOT NULL").mapInArrow(run, out)

@@ -91,3 +91,29 @@ def test_operator_on_dirty_tables(spark):
 
 def test_blocks_of_a_long_text():
     assert sum(1 for _ in blocks("line\n" * 50000 + "\n" + "- item\n" * 1000)) == 1001
+
+
+def test_document_is_asked_before_corpus_and_corpus_before_lists(monkeypatch):
+    know = Knowledge(KNOW.starters, {"max": False, "row": False}, frozenset(), frozenset(["max"]))
+    # the corpus takes "row." for an abbreviation, this document uses it as an ordinary word
+    assert units("Each row counts. It lost a row. The end", know) == ["Each row counts.", "It lost a row.", "The end"]
+    assert units("It lost a row. The end", know) == ["It lost a row. The end"]
+    # no list knows "dpt", the document does; lists play no part where it or the corpus speaks
+    monkeypatch.setattr("tarnwork.llm.sentences.NEVER_END", frozenset())
+    monkeypatch.setattr("tarnwork.llm.sentences.MAY_END", frozenset())
+    know = Knowledge(KNOW.starters, {"max": False}, frozenset(), frozenset(["max"]))
+    assert units("It was max. 5 rows. The dpt. of it saw Dpt. Five. The end", know) == ["It was max. 5 rows.", "The dpt. of it saw Dpt. Five.", "The end"]
+
+
+def test_corpus_alone_learns_abbreviations(spark, monkeypatch):
+    monkeypatch.setattr("tarnwork.llm.sentences.NEVER_END", frozenset())
+    monkeypatch.setattr("tarnwork.llm.sentences.MAY_END", frozenset())
+    texts = [f"There is no file {i}. See no. {i} of it, and ask Mr. Bo.\n\nThe run took max. {i} rows, logs etc. at dawn. The log says no.\n\nWe keep keys, logs etc.\n\nThe bucket is in the U.S.\n\nThe copy sits in the U.S. and the U.S. copy. It came." for i in range(12)]
+    know = learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {"no", "max"} <= know.numbered and know.abbreviations["etc"] and know.abbreviations["u.s"] and not know.abbreviations["mr"] and "file" not in know.abbreviations
+    assert know.abbreviations["no"] and {"The", "We"} <= know.starters
+    assert units("It says no. The end. See no. 5, etc. The log. It is in the U.S. The end", know) == ["It says no.", "The end.", "See no. 5, etc.", "The log.", "It is in the U.S.", "The end"]
+
+
+def test_units_after_numbers():
+    assert units("Er kam um 5 h. The end of p. 3 came.") == ["Er kam um 5 h.", "The end of p. 3 came."]
