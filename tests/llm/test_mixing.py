@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tarnwork.llm.mixing import mix_sources, sainte_lague
+from tarnwork.llm.mixing import mix_sources, sainte_lague, shard_quotas
 from tarnwork.llm.tokens import VOCABULARY, encoding, token_count
 
 DOC = "doc_id long, source string, n_tokens long, shard string"
@@ -59,6 +59,22 @@ def test_shares_and_caps(spark, shard_tokens):
     assert got["big"].share == pytest.approx(rest * 0.5 / 0.8, abs=0.02) and got["mid"].share == pytest.approx(rest * 0.3 / 0.8, abs=0.02)
 
 
+def test_shard_quotas_equal_the_apportionment_of_each_source(spark):
+    r = random.Random(5)
+    held, seats, want = [], [], {}
+    for s in range(60):
+        n = r.randrange(1, 40)
+        tokens = [r.choice([1, 63, 64, 500, r.randrange(1, 20_000), r.randrange(1, 2_000_000)]) if s % 2 else r.randrange(9_000, 11_000) for _ in range(n)]
+        c = r.randrange(1, 4)
+        caps = [-(-t * c // 64) for t in tokens]
+        b = min(sum(caps), round(sum(tokens) * c / 64 * r.choice([0.01, 0.3, 0.5, 0.9, 1.0])))
+        held += [(f"s{s}", k, t, cap) for k, (t, cap) in enumerate(zip(tokens, caps))]
+        seats.append((f"s{s}", b))
+        want |= {(f"s{s}", k): q for k, q in enumerate(sainte_lague([float(t) for t in tokens], b, caps))}
+    got = shard_quotas(spark.createDataFrame(held, "source string, shard int, tokens long, cap long"), spark.createDataFrame(seats, "source string, blocks long"))
+    assert {(x.source, x.shard): x.blocks for x in got.collect()} == want
+
+
 def test_same_seed_same_mixture_and_empty_tables(spark):
     a, b = (sorted(map(tuple, make(spark, 20_000)[1].collect())) for _ in range(2))
     assert a == b
