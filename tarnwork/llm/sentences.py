@@ -11,6 +11,8 @@ terminators and rules; nothing depends on a language label.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -18,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,7 @@ GERMAN_WORDS = frozenset("der die das den dem des ein eine einen und oder aber n
 STRONG = "。！？｡．؟۔।॥"
 TERM = ".!?…" + STRONG
 _TERMS = re.compile(f"[{re.escape(TERM)}]+")
+_ASCII_TERMS = re.compile("[.!?]+")
 _MARKS = re.compile("[\"“”„«»‹›「」『』‘’()（）\\[\\]［］{}【】《》〈〉]")
 _PAIRS = {"(": ")", "（": "）", "[": "]", "［": "］", "{": "}", "【": "】", "《": "》", "〈": "〉", "「": "」", "『": "』", "«": "»", "‹": "›", "“": "”\"", "„": "“”\"", "‘": "’"}
 _CLOSERS = set("\"”’»›)）]］}」』】》〉“")
@@ -201,15 +203,16 @@ def observe(text: str, seen: Counter, tokens: Counter) -> None:
         w = starter(t, i)
         if w and not (item and w[:1].islower()):
             seen["start", w] += 1
-        for m in _STRONG_START.finditer(t):
-            seen["start", starter(t, m.end())] += 1
+        if not t.isascii():
+            for m in _STRONG_START.finditer(t):
+                seen["start", starter(t, m.end())] += 1
         for m in _STOP.finditer(t):
             gap, c = m[1], m[2]
             i = m.start()
-            if (not gap and c and c not in ",;:") or not i or t[i - 1] in ". ":
+            if (not gap and c and c not in ",;:") or not i or t[i - 1] in ". )" or t[i - 1].isdigit():
                 continue
             form = _form(t, 0, i)
-            if not form or form[-1].isdigit() or not _word(form):
+            if not form or not _word(form):
                 continue
             if not c:
                 kind = "end"
@@ -237,6 +240,18 @@ def _bare(tokens: Counter) -> Counter:
     return out
 
 
+@contextlib.contextmanager
+def _no_gc() -> Iterator[None]:
+    """Nothing here makes cycles, and looking for them among many small tuples takes time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 _KINDS = ["start", "end", "comma", "small", "num", "open", "bare"]
 #: A small letter behind a stop speaks for an abbreviation only of words up to this length: some texts have no capitals.
 SHORT = 6
@@ -246,23 +261,24 @@ def learn(docs: DataFrame, rare: float = 5e-6) -> Knowledge:
     """Corpus knowledge from all texts. Kept are starters that make up at least ``rare`` of all starts (and stand 3 times), so
     at most 1 / ``rare`` of them, and abbreviations by the same rule, whatever the size of the corpus."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, tokens = Counter(), Counter()
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             rows = [(k, w, w if k == "start" else w.lower(), n) for (k, w), n in seen.items()] + [("bare", w, w.lower(), n) for w, n in _bare(tokens).items()]
             seen.clear()
             tokens.clear()
-            return pd.DataFrame(rows, columns=["kind", "form", "low", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(("string", "string", "string", "int64"))], ["kind", "form", "low", "n"])
 
-        for pdf in batches:
-            for t in pdf["text"]:
-                observe(t, seen, tokens)
-            if len(seen) + len(tokens) > 200_000:
-                yield flush()
-        yield flush()
+        with _no_gc():
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    observe(t, seen, tokens)
+                if len(seen) + len(tokens) > 200_000:
+                    yield flush()
+            yield flush()
 
-    per = docs.select("text").where("text IS NOT NULL").mapInPandas(count, "kind string, form string, low string, n long").groupBy("form", "low").pivot("kind", _KINDS).agg(F.sum("n")).na.fill(0)
+    per = docs.select("text").where("text IS NOT NULL").mapInArrow(count, "kind string, form string, low string, n long").groupBy("form", "low").pivot("kind", _KINDS).agg(F.sum("n")).na.fill(0)
     per = cut(per, "words")
     forms = per.where("start = 0 OR form = low").select("*", (F.col("end") + F.col("comma") + F.col("small") + F.col("num") + F.col("open")).alias("dots"))
     words = per.where("end + comma + small + num + open + bare > 0").groupBy(F.lower("low").alias("word")).agg(*(F.sum(k).alias(k) for k in _KINDS[1:]))
@@ -282,8 +298,6 @@ def learn(docs: DataFrame, rare: float = 5e-6) -> Knowledge:
 
 
 _FOLLOWED = re.compile(r"\.(?:\s*[,;:]|\s+(?=[^\W\d_]))")
-_MID_NAME = re.compile(r"(?<=[\w,] )[^\W\d_a-z]\w+")
-_LATIN_WORD = re.compile(r"[^\W\d_]+")
 
 
 def _stands(text: str, w: str) -> bool:
@@ -304,14 +318,13 @@ class _Document:
         self.text, self.know = text, know
         self._low: str | None = None
         self._german: bool | None = None
-        self._names: set[str] | None = None
         self._bare: dict[str, bool] = {}
         #: Words whose stop stands inside a sentence here.
         self.inside: set[str] = set()
         for m in _FOLLOWED.finditer(text):
             i, j = m.span()
             comma = text[j - 1] in ",;:"
-            if i and (comma or text[j].islower()) and text[i - 1] not in ". ":
+            if i and (comma or text[j].islower()) and text[i - 1] not in ". )" and not text[i - 1].isdigit():
                 w = _form(text, max(0, i - 60), i)
                 if not w or not _word(w) or (not comma and (len(w) > SHORT or _NAMED.search(text[j : j + 40].split(None, 1)[0]))):
                     continue
@@ -320,14 +333,18 @@ class _Document:
     @property
     def german(self) -> bool:
         if self._german is None:
-            self._german = len(GERMAN_WORDS.intersection(_LATIN_WORD.findall(self.text))) >= 3
+            self._german = len(GERMAN_WORDS.intersection(self.text.split())) >= 3
         return self._german
 
     def name(self, w: str) -> bool:
         """Does ``w`` stand here capitalised in the middle of a sentence?"""
-        if self._names is None:
-            self._names = set(_MID_NAME.findall(self.text))
-        return w in self._names
+        text, i = self.text, self.text.find(" " + w)
+        while i >= 0:
+            j = i + 1 + len(w)
+            if i and (text[i - 1].isalnum() or text[i - 1] in "_,") and not text[j : j + 1].isalnum():
+                return True
+            i = text.find(" " + w, j)
+        return False
 
     def bare(self, w: str, low: bool = False) -> bool:
         """Does ``w``, as it is written or (``low``) in any case, stand here without a stop?"""
@@ -428,6 +445,9 @@ def _is_end(doc: _Document, t: str, term: str, stop: int, end: int, quoted: int
         return opens if upper or lower or f.isdigit() else known
     if term != ".":
         return opens or "…" not in term and ".." not in term
+    ch = t[stop - 1 : stop]
+    if ch == ")" or (ch.isdigit() and stop - unit > 3 and len(t[stop - 3 : stop].split(None, 1)[0]) == 3):
+        return opens or ch == ")"  # no word stands before the stop
     w = _form(t, unit, stop)
     if _DIGITS.fullmatch(w) and not lower and (word in GERMAN_MONTHS or doc.german):
         return not f.isalpha() or (word not in GERMAN_MONTHS and known)
@@ -439,7 +459,7 @@ def _is_end(doc: _Document, t: str, term: str, stop: int, end: int, quoted: int
         if _SINGLES.fullmatch(w):
             return known and (upper or f.isdigit()) and w.islower() and _UNIT.search(t, max(unit, stop - 4), stop - 1) is not None
         # a small letter behind an ordinary word: text that was put into small letters
-        return opens or (len(low) >= 3 and low.isalpha()) or t[stop - 1 : stop] == ")"
+        return opens or (len(low) >= 3 and low.isalpha())
     if len(w) == 1 and w.isupper():
         return False  # an initial
     ends, only_known = said
@@ -460,7 +480,10 @@ def sentence_ends(text: str | None, know: Knowledge = Knowledge()) -> list[tuple
         return []
     doc = _Document(text, know)
     out: list[tuple[int, int]] = []
-    marks, thai_text = _MARKS.search(text) is not None, _THAI_LETTER.search(text) is not None
+    ascii_text = text.isascii()
+    marks, thai_text = _MARKS.search(text) is not None, not ascii_text and _THAI_LETTER.search(text) is not None
+    terms = _ASCII_TERMS if ascii_text else _TERMS
+    inside, doubtful = doc.inside, know.doubtful
     for s, e, _ in blocks(text):
         t = text[s:e].rstrip(_TRIM)
         n = len(t)
@@ -471,24 +494,47 @@ def sentence_ends(text: str | None, know: Knowledge = Knowledge()) -> list[tuple
             k = bisect_right(opens, i) - 1
             return k >= 0 and pairs[k][0] <= i <= pairs[k][1]
 
-        spots: list[tuple[int, int, str, int | None]] = []  # end, stop, terminators, opening mark
-        for m in _TERMS.finditer(t):
-            stop, end = m.span()
-            if not pairs or not within(stop):
-                while end < n and t[end] in _CLOSERS and not (pairs and within(end)):
-                    end += 1
-                if end < n:
-                    spots.append((end, stop, m[0], None))
+        cuts: list[int] = []
         if pairs:
+            spots: list[tuple[int, int, str, int | None]] = []  # end, stop, terminators, opening mark
+            for m in terms.finditer(t):
+                stop, end = m.span()
+                if end < n and t[end].isalnum() and t[stop] == "." and end == stop + 1 and not (t[end].isupper() or t[end].istitle()):
+                    continue  # a number, a file, a version
+                if not within(stop):
+                    while end < n and t[end] in _CLOSERS and not within(end):
+                        end += 1
+                    if end < n:
+                        spots.append((end, stop, m[0], None))
             for a, b in pairs:
                 m = _INNER_END.search(t[a + 1 : b].rstrip(_TRIM))
                 if m and b + 1 < n:
                     spots.append((b + 1, a + 1 + m.start(), m[1], a))
             spots.sort()
-        cuts: list[int] = []
-        for end, stop, term, quoted in spots:
-            if _is_end(doc, t, term, stop, end, quoted, cuts[-1] if cuts and cuts[-1] <= stop else 0):
-                cuts.append(end)
+            for end, stop, term, quoted in spots:
+                if _is_end(doc, t, term, stop, end, quoted, cuts[-1] if cuts and cuts[-1] <= stop else 0):
+                    cuts.append(end)
+        else:
+            unit = 0
+            for m in terms.finditer(t):
+                stop, end = m.span()
+                if end < n:
+                    if end == stop + 1 and t[stop] == ".":
+                        c = t[end]
+                        if c == " ":
+                            if t[end + 1].isupper():  # the common case, as _is_end has it
+                                w = t[max(t.rfind(" ", unit, stop) + 1, unit) : stop]
+                                if len(w) > 3 and w.isalpha() and (w := w.lower()) not in inside and w not in doubtful:
+                                    cuts.append(end)
+                                    unit = end
+                                    continue
+                        elif c.isalnum() and not (c.isupper() or c.istitle()):
+                            continue  # a number, a file, a version
+                    while end < n and t[end] in _CLOSERS:
+                        end += 1
+                    if end < n and _is_end(doc, t, m[0], stop, end, None, unit):
+                        cuts.append(end)
+                        unit = end
         if thai_text:
             cuts = sorted({*cuts, *(m.start() for m in _THAI.finditer(t) if not within(m.start()))})
         cuts.append(n)
@@ -520,16 +566,17 @@ def split_sentences(docs: DataFrame, know: Knowledge | None = None, with_text: b
     names = ["doc_id", "sent_no", "sent_start", "sent_end", *(["sentence"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            places = [sentence_ends(t, shared.value) for t in texts]
-            n = np.array([len(p) for p in places], np.int64)
-            flat = np.array([x for p in places for x in p], np.int32).reshape(-1, 2)
-            no = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1).astype(np.int32)
-            cols = [b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))).cast("int64"), pa.array(no), pa.array(flat[:, 0] + np.int32(1)), pa.array(flat[:, 1])]
-            if with_text:
-                cols.append(pa.array([t[x:y] for t, p in zip(texts, places) for x, y in p], "string"))
-            yield pa.RecordBatch.from_arrays(cols, names)
+        with _no_gc():
+            for b in batches:
+                texts = b.column(1).to_pylist()
+                places = [sentence_ends(t, shared.value) for t in texts]
+                n = np.array([len(p) for p in places], np.int64)
+                flat = np.array([x for p in places for x in p], np.int32).reshape(-1, 2)
+                no = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1).astype(np.int32)
+                cols = [b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))).cast("int64"), pa.array(no), pa.array(flat[:, 0] + np.int32(1)), pa.array(flat[:, 1])]
+                if with_text:
+                    cols.append(pa.array([t[x:y] for t, p in zip(texts, places) for x, y in p], "string"))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     out = "doc_id long, sent_no int, sent_start int, sent_end int" + (", sentence string" if with_text else "")
     return docs.select("doc_id", "text").where("text IS NOT NULL").mapInArrow(run, out)
