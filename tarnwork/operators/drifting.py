@@ -8,7 +8,9 @@ per field in its canonical type, and one more per alternative type for the value
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,12 +26,27 @@ RENAME_LIKENESS = 0.6
 CHANGE = ["source_file", "change", "field_from", "field_to"]
 
 
+def _parsed(df: DataFrame, raw: str) -> Column:
+    """The record as VARIANT; null if it is no JSON. Of a key that a record repeats the last value counts."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # else such a record would be no JSON at all
+    return F.try_parse_json(raw)
+
+
 def valid_records(df: DataFrame, raw: str, keep: list[str]) -> DataFrame:
-    """``keep`` and ``v``, the record as VARIANT, of the rows whose text is one JSON object; others and nulls are left out."""
-    v = df.select(*keep, F.try_parse_json(raw).alias("v"))
+    """``keep`` and ``v``, the record as VARIANT, of the rows whose text is one JSON object; the others are left to
+    ``rejected_records``."""
+    v = df.select(*keep, _parsed(df, raw).alias("v"))
     return v.where(F.schema_of_variant("v").startswith("OBJECT"))
 
 
+def rejected_records(df: DataFrame, raw: str, keep: list[str]) -> DataFrame:
+    """``keep``, ``raw`` and ``reason`` of the rows that are no record: empty (null or blank) or no_object."""
+    v = df.select(*keep, raw, _parsed(df, raw).alias("__v"))
+    blank = F.col(raw).isNull() | (F.trim(raw) == "")
+    reason = F.when(blank, "empty").when(F.col("__v").isNull() | ~F.schema_of_variant("__v").startswith("OBJECT"), "no_object")
+    return v.select(*keep, raw, reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def json_type(schema: Column) -> Column:
     """string, number, boolean, array or object of a ``schema_of_variant``; null for JSON null."""
     return (
@@ -173,7 +190,56 @@ def placed_changes(unions: DataFrame, files: DataFrame) -> DataFrame:
 
 def new_alternatives(unions: DataFrame) -> DataFrame:
     """(source_file, field, type, n): types a field has in a file for the first time in its system, past its first file."""
-    long = unions.select("system", "k", "file", "field", F.explode("types").alias("type", "n"))
+    return _first_seen(unions.select("system", "k", "file", "field", F.explode("types").alias("type", "n")))
+
+
+_TYPE = re.compile(r"OBJECT<|ARRAY<|>|, |`(?:[^`]|``)*`: |[^,<>:`]+: |[A-Z]+(?:\([0-9, ]+\))?")
+
+
+def paths_of(schema: str, root: str = "$") -> list[tuple[str, str]]:
+    """(path, JSON type) of everything below a value with the text of ``schema_of_variant``; elements of arrays as ``[]``."""
+    out, stack = [], [root]
+    for m in _TYPE.finditer(schema):
+        t = m[0]
+        if t == ">":
+            stack.pop()
+        elif t.endswith(": "):
+            name = t[:-2]
+            stack[-1] = f"{stack[-1].rsplit(chr(0), 1)[0]}\0.{name[1:-1].replace('``', '`') if name[0] == '`' else name}"
+        elif t != ", ":
+            kind = {"OBJECT<": "object", "ARRAY<": "array", "STRING": "string", "BOOLEAN": "boolean"}.get(t, "number")
+            if t not in ("VOID", "VARIANT"):
+                out.append((stack[-1].replace("\0", ""), kind))
+            if t == "OBJECT<":
+                stack.append(stack[-1].replace("\0", "") + "\0")
+            elif t == "ARRAY<":
+                stack.append(stack[-1].replace("\0", "") + "[]")
+    return out[1:]
+
+
+def nested_alternatives(records: DataFrame, files: DataFrame, system: str, file: str, ts: str) -> DataFrame:
+    """(source_file, field, type, n): as ``new_alternatives``, for the paths below objects and arrays (``a.b``, ``a[].b``).
+
+    Values shrink to their distinct schemas per file and field before any is taken apart; ``n`` counts values that hold the
+    path with that type at least once.
+    """
+    r = records.select(F.col(system).alias("system"), F.col(file).alias("file"), F.col(ts).alias("ts"), "v")
+    r = r.join(F.broadcast(files) if plan_bytes(files) <= BROADCAST_BYTES else files, ["system", "file", "ts"])
+    vals = r.select("system", "k", "file", F.inline(F.map_entries(F.col("v").cast("map<string,variant>"))).alias("field", "value"))
+    per = vals.select("system", "k", "file", "field", F.schema_of_variant("value").alias("schema")).where("schema LIKE 'OBJECT%' OR schema LIKE 'ARRAY%'")
+    per = per.groupBy("system", "k", "file", "field", "schema").agg(F.count(F.lit(1)).alias("n"))
+
+    def take_apart(batches):
+        for pdf in batches:
+            rows = [(x.system, x.k, x.file, path, t, x.n) for x in pdf.itertuples() for path, t in dict.fromkeys(paths_of(x.schema, x.field))]
+            yield pd.DataFrame(rows, columns=["system", "k", "file", "field", "type", "n"])
+
+    types = dict(per.dtypes)
+    long = per.mapInPandas(take_apart, f"system {types['system']}, k int, file string, field string, type string, n long")
+    return _first_seen(long.groupBy("system", "k", "file", "field", "type").agg(F.sum("n").alias("n")))
+
+
+def _first_seen(long: DataFrame) -> DataFrame:
     first = long.groupBy("system", "field", "type").agg(F.min(F.struct("k", "file", "n")).alias("f"))
     start = F.min("f.k").over(W.partitionBy("system", "field"))
     return first.withColumn("__s", start).where(F.col("f.k") > F.col("__s")).select(F.col("f.file").alias("source_file"), "field", "type", F.col("f.n").alias("n"))
@@ -273,10 +339,32 @@ def _free(name: str, taken: set[str]) -> str:
     return name
 
 
+def _timestamp(text: Column) -> Column:
+    """A date text as TIMESTAMP: ISO forms by a cast, others by the one format that fits, since a format that fails costs an
+    exception."""
+    at = lambda i, c: F.substring(text, i, 1) == c
+    n = F.length(text)
+    return (
+        F.when(at(5, "-"), text.try_cast("timestamp"))
+        .when((n == 10) & at(3, "."), F.try_to_timestamp(text, F.lit("dd.MM.yyyy")))
+        .when((n == 10) & at(3, "/"), F.try_to_timestamp(text, F.lit("dd/MM/yyyy")))
+        .when((n == 8) & text.rlike(r"^[0-9]{8}\z"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+        .otherwise(F.when(text.rlike(r"^[0-9]{1,2}[./]|^[0-9]{4}"), F.coalesce(F.try_to_timestamp(text, F.lit("d.M.yyyy")), F.try_to_timestamp(text, F.lit("d/M/yyyy")), text.try_cast("timestamp"))))
+    )
+
+
+def _first_of(values: list[Column]) -> Column:
+    """The first that is not null; ``coalesce`` would make strings of variants."""
+    out = values[-1]
+    for v in values[-2::-1]:
+        out = F.when(v.isNotNull(), v).otherwise(out)
+    return out
+
+
 def one_table(records: DataFrame, fields: dict[str, tuple[list[str], dict[str, int], str]], keep: list[str], to: str | None = None) -> DataFrame:
     """All valid records: ``keep``, then per field its canonical column and, where types conflict, a branch ``<field>__<type>``
     with the values of that type as they came. Canonical: dates TIMESTAMP, numbers DOUBLE, booleans BOOLEAN, else text
-    (arrays and objects as JSON). A field named as one of ``keep`` gets ``_2`` appended.
+    (arrays and objects as JSON); of a field of texts only, those that do not convert go to ``<field>__string``. A field named as one of ``keep`` gets ``_2`` appended.
 
     ``to``: a column of ``records`` that maps names to fields in this record's file; other names go to the field of that
     name, else to the first that has it. Should a record hold two names of a field, the second value goes, as it came, to a
@@ -284,37 +372,43 @@ def one_table(records: DataFrame, fields: dict[str, tuple[list[str], dict[str, i
     """
     home = {n: c for c, (names, _, _) in reversed(fields.items()) for n in names}
     home |= {c: c for c in fields if c in home}
-    typed = F.transform(
-        F.map_entries(F.col("v").cast("map<string,variant>")),
-        lambda e: F.struct(e["key"], F.struct(json_type(F.schema_of_variant(e["value"])).alias("type"), F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.to_json(e["value"])).alias("text"))),
-    )
-    m = records.select(*keep, *([F.col(to).alias("__to")] if to else []), F.map_from_entries(F.filter(typed, lambda e: e["col2"]["type"].isNotNull())).alias("__m"))
+    m = records.select(*keep, *([F.col(to).alias("__to")] if to else []), F.col("v").cast("map<string,variant>").alias("__m"))
     cells, second = [], []
+    wanted: dict[str, int] = {}
     shared = Counter(n for names, _, _ in fields.values() for n in names)
     for i, (field, (names, _, _)) in enumerate(fields.items()):
         value = {}
         for n in names:
             own = F.coalesce(F.col("__to")[n], F.lit(home[n])) if to else F.lit(home[n])
-            value[n] = F.col("__m")[n] if shared[n] == 1 else F.when(own == field, F.col("__m")[n])
-        cells.append(F.coalesce(*value.values()).alias(f"__f{i}"))
+            here = F.col(f"__n{wanted.setdefault(n, len(wanted))}")
+            value[n] = here if shared[n] == 1 else F.when(own == field, here)
+        cells.append(_first_of(list(value.values())).alias(f"__f{i}"))
         for j, n in enumerate(names[1:], 1):
-            before = F.coalesce(*(value[x] for x in names[:j])).isNotNull()
-            second.append((f"{field}__of_{n}", F.when(before, value[n]["text"]).alias(f"__s{len(second)}")))
+            before = reduce(Column.__or__, (value[x].isNotNull() for x in names[:j]))
+            second.append((f"{field}__of_{n}", F.when(before, value[n]).alias(f"__s{len(second)}")))
+    # a JSON null is no value
+    m = m.select(*keep, *(["__to"] if to else []), *(F.col("__m")[n].alias(f"__n{i}") for n, i in wanted.items()))
+    m = m.select(*keep, *(["__to"] if to else []), *(F.when(~F.is_variant_null(c), F.col(c)).alias(c) for c in (f"__n{i}" for i in wanted.values())))
     m = m.select(*keep, *cells, *(c for _, c in second))
+    text_of = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
+    m = m.select(*keep, *(F.when(F.col(f"__f{i}").isNotNull(), F.struct(json_type(F.schema_of_variant(f"__f{i}")).alias("type"), text_of(F.col(f"__f{i}")).alias("text"))).alias(f"__f{i}") for i in range(len(cells))), *(F.when(F.col(f"__s{i}").isNotNull(), text_of(F.col(f"__s{i}"))).alias(f"__s{i}") for i in range(len(second))))
     taken = set(keep)
     out: list[Column] = []
     for i, (field, (_, types, what)) in enumerate(fields.items()):
         text, t = F.col(f"__f{i}.text"), F.col(f"__f{i}.type")
         if what == "date":
-            canon = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "yyyyMMdd")), text.try_cast("timestamp"))
+            canon = _timestamp(text)
         elif what == "number":
-            canon = F.when(t.isin("number", "string"), F.regexp_replace(text, ",", ".").try_cast("double")).when(t == "boolean", F.when(text == "true", 1.0).otherwise(0.0))
+            # a failing cast costs an exception
+            canon = F.when((t == "number") | ((t == "string") & text.rlike(r"^[-+]?[0-9.,]+([eE][-+]?[0-9]+)?\z")), F.replace(text, F.lit(","), F.lit(".")).try_cast("double")).when(t == "boolean", F.when(text == "true", 1.0).otherwise(0.0))
         elif what == "boolean":
             canon = text.try_cast("boolean")
         else:
             canon = text
         name = _free(field if field not in keep else f"{field}_2", taken)
         out.append(canon.alias(name))
+        if len(types) == 1 and canon is not text and "string" in types:
+            out.append(F.when(canon.isNull(), text).alias(_free(f"{name}__string", taken)))  # what does not convert
         if len(types) > 1:
             for alt in sorted(types):
                 raw = F.when(t == alt, text)

@@ -4,7 +4,7 @@ import datetime as dt
 import json
 import random
 
-from tarnwork.operators.drifting import canonical_names, file_unions, first_deliveries, new_alternatives, one_table, schema_changes, valid_records
+from tarnwork.operators.drifting import canonical_names, file_unions, first_deliveries, nested_alternatives, new_alternatives, one_table, paths_of, rejected_records, schema_changes, valid_records
 from tarnwork.queries.p4 import p4_found, p4_table
 
 SCHEMA = "raw string, sys string, file string, ts timestamp, v string, field string"
@@ -88,3 +88,45 @@ def test_a_rename_holds_in_its_system_and_drops_no_value(spark, tmp_path):
             assert {7.75, 8.75} <= {float(r[c]) for c in table[0].asDict() if r[c] and c.split("__")[0] in ("amount", "total")}
         else:
             assert have == ({"total": next(iter(w[n].values()))} if r._source_system == "w" else {"s": s, "t": t, "u": u}[r._source_system][n])
+
+
+def test_repeated_keys_odd_names_and_rejected_rows(spark):
+    texts = ['{"a": 1, "a": 2}', '{"x\'y": 1, "q?": "t", "": 3, "a": null}', "[1]", "#EOF", None, "  "]
+    df = spark.createDataFrame([(t, "s", "f", T, "x", "y") for t in texts], SCHEMA)
+    records, files, unions = run(spark, [(t, "s", "f", T, "x", "y") for t in texts])
+    t = one_table(records, canonical_names(schema_changes(unions, files), unions), ["sys"])
+    assert sorted(((r["a"], r["x'y"], r["q?"], r[""]) for r in t.collect()), key=str) == [(2.0, None, None, None), (None, 1.0, "t", 3.0)]
+    assert sorted(r.reason for r in rejected_records(df, "raw", ["file"]).collect()) == ["empty", "empty", "no_object", "no_object"]
+
+
+def test_alternatives_of_nested_paths(spark):
+    assert paths_of("OBJECT<a: BIGINT, `b c`: OBJECT<d: ARRAY<OBJECT<e: DECIMAL(4,2)>>, f: VOID>, g: ARRAY<STRING>>", "r") == [
+        ("r.a", "number"), ("r.b c", "object"), ("r.b c.d", "array"), ("r.b c.d[]", "object"), ("r.b c.d[].e", "number"), ("r.g", "array"), ("r.g[]", "string")]
+    own = [{"o": {"zip": 1, "l": [1]}}, {"o": {"zip": 2, "l": ["x"]}}, {"o": {"zip": "3", "l": []}}]
+    rows = [(json.dumps(o), "s", f"f{n}", T + dt.timedelta(days=n), "x", "y") for n, o in enumerate(own)]
+    records, files, _ = run(spark, rows)
+    got = {tuple(r) for r in nested_alternatives(records, files, "sys", "file", "ts").collect()}
+    assert got == {("f1", "o.l[]", "string", 1), ("f2", "o.zip", "string", 1)}
+
+
+def test_every_value_of_every_record_is_in_the_table(spark):
+    """Each value stands, as text or in its type, in exactly the columns of its field: none is lost, none is made up."""
+    r = random.Random(6)
+    pool = {"amount": [1.5, "2,75", 3, True], "when": ["2026-01-02", "03.01.2026", "04/01/2026", "20260105", "2026-01-06T07:08:09", "soon"], "flag": [True, False, "yes"], "o": [{"a": 1}, [1, 2], "t"]}
+    rows = []
+    for n in range(8):
+        for i in range(40):
+            o = {k: r.choice(v[:-1] if r.random() < 0.9 else v) for k, v in pool.items() if r.random() < 0.8}
+            rows.append((json.dumps(o), "s", f"f{n}", T + dt.timedelta(days=n), "x", "y"))
+    records, files, unions = run(spark, rows)
+    fields = canonical_names(schema_changes(unions, files), unions)
+    table = one_table(records, fields, ["file"]).collect()
+    assert len(table) == len(rows)
+    for k in pool:
+        branches = [c for c in table[0].asDict() if c.startswith(f"{k}__")]
+        want = sum(1 for x in rows if k in json.loads(x[0]))
+        assert sum(any(t[c] is not None for c in [k, *branches]) for t in table) == want
+        assert len(branches) == 1 or sum(any(t[c] is not None for c in branches) for t in table) == want
+        assert all(sum(t[c] is not None for c in branches) <= 1 for t in table)
+    days = {t["when"].day for t in table if t["when"]}
+    assert days == {2, 3, 4, 5, 6}
