@@ -17,8 +17,9 @@ def code(c: str | Column) -> Column:
 
 
 def day_of(c: str | Column) -> Column:
-    """The DATE of an integer day yyyyMMdd; null where it is no calendar day."""
-    return F.try_to_date(F.lpad(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), 8, "0"), "yyyyMMdd")
+    """The DATE of an integer day yyyyMMdd; null where it is no calendar day, such as one of another number of digits."""
+    n = (F.col(c) if isinstance(c, str) else c).cast("long")
+    return F.when(n.between(10101, 99991231), F.try_to_date(F.lpad(n.cast("string"), 8, "0"), "yyyyMMdd"))
 
 
 def day_int(c: str | Column) -> Column:

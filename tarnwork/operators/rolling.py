@@ -22,6 +22,7 @@ def trailing_totals(daily: DataFrame, key: str, day: str, amount: str, windows:
     the window, on the map side first, so the rows of a key in one task are bounded by its calendar days, whatever its rows.
     """
     base = daily.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(F.col(key).alias("__k"), F.col(day).alias("__d"), F.coalesce(F.col(amount), F.lit(0)).alias("__a"))
+    base = base.groupBy("__k", "__d").agg(F.sum("__a").alias("__a"))  # first, so that a day gives its events once
     # one event at the day, one per window at its end; an event carries its delta for every window
     shifts = F.array(*(F.lit(s) for s in (0, *windows)))
     events = base.select("__k", "__a", F.col("__d").alias("__at"), F.explode(shifts).alias("__s"))

@@ -1,7 +1,7 @@
 """Per-key aggregation as a tree of merges, for keys of which a few hold most rows.
 
-Input rows are cut into chunks of ``chunk_rows`` consecutive rows of a task. A round groups by (node, key, sub-key): the
-map side combines a chunk locally, the reduce side merges the states of at most ``fan_in`` nodes of the round before. The
+The chunks are the splits of the input, of one size (``spark.sql.files.maxPartitionBytes``). A round groups by (node, key,
+sub-key): the map side combines a chunk locally, the reduce side merges the states of at most ``fan_in`` nodes of the round before. The
 number of nodes falls by ``fan_in`` a round until one is left, so no reducer ever gets all partial states of a hot key.
 """
 
@@ -19,7 +19,8 @@ _MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
 def rounds_for(df: DataFrame, fan_in: int, chunk_bytes: int) -> int:
-    """Rounds so that every merge has about ``fan_in`` inputs; from Catalyst's size estimate, without a job."""
+    """Rounds so that every merge has at most about ``fan_in`` inputs. A chunk is what one task reads, so their number is that
+    of the splits: Catalyst's size by ``chunk_bytes``, at least the cores; no job is run for it."""
     chunks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(plan_bytes(df) / chunk_bytes))
     return max(1, math.ceil(math.log(chunks, fan_in)))
 
@@ -30,7 +31,6 @@ def tree_aggregate(
     states: dict[str, tuple[str, Column]],
     sub_key: tuple[str, Column] | None = None,
     fan_in: int = 8,
-    chunk_rows: int = 1_000_000,
     chunk_bytes: int = 128 << 20,
     rounds: int | None = None,
 ) -> DataFrame:
@@ -43,8 +43,7 @@ def tree_aggregate(
     """
     n = rounds or rounds_for(df, fan_in, chunk_bytes)
     # node: the low digits of the chunk number to the base fan_in, one fewer in each round
-    at = F.monotonically_increasing_id()
-    chunk = F.shiftright(at, 33) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(chunk_rows)) * F.lit(1_000_003)
+    chunk = F.shiftright(F.monotonically_increasing_id(), 33)  # the number of the task that reads the row
     parts = [c.alias(f"__k{i}") for i, c in enumerate(keys.values())]
     sub = [sub_key[1].alias("__s")] if sub_key else []
     cur = df.select(*parts, *sub, *(e.alias(f"__v{i}") for i, (_, e) in enumerate(states.values())), chunk.cast("long").alias("__c"))

@@ -38,7 +38,7 @@ QUERIES = {"p3_found": p3_found, "p3_rolling": p3_rolling}
 
 _DAYS = """
     WITH m AS (
-      SELECT upper(trim(site_code)) AS site_code, product, CAST(try_strptime(lpad(CAST(data_dt AS VARCHAR), 8, '0'), '%Y%m%d') AS DATE) AS d, daily_amount, load_ts
+      SELECT upper(trim(site_code)) AS site_code, product, CASE WHEN data_dt BETWEEN 10101 AND 99991231 THEN CAST(try_strptime(lpad(CAST(data_dt AS VARCHAR), 8, '0'), '%Y%m%d') AS DATE) END AS d, daily_amount, load_ts
       FROM sales_mart WHERE trim(site_code) <> ''),
     last AS (
       SELECT site_code, product, d, CAST(round(coalesce(daily_amount, 0) * 100) AS BIGINT) AS cents FROM m WHERE d IS NOT NULL

@@ -112,10 +112,11 @@ _TWO = """
 
 
 def first_and_last(spark, d) -> tuple[DataFrame, DataFrame]:
-    s = clean_snapshots(table(spark, d, "dim_customer_snapshot"), "id", "snapshot_dt", "updated_at", ["name", "address", "tier"])
-    lim = table(spark, d, "dim_customer_snapshot").where("id IS NOT NULL").agg(F.min("snapshot_dt").alias("lo"), F.max("snapshot_dt").alias("hi"))
-    j = s.crossJoin(F.broadcast(lim))
-    return tuple(j.where(f"snapshot_dt = {x}").select("id", "name", "address", "tier", "snapshot_dt") for x in ("lo", "hi"))
+    """The first and the last snapshot, cleaned; the two days come from one column, then only their rows are read."""
+    raw = table(spark, d, "dim_customer_snapshot").where("id IS NOT NULL")
+    days = raw.agg(F.min("snapshot_dt").alias("lo"), F.max("snapshot_dt").alias("hi")).first()
+    clean = lambda day: clean_snapshots(raw.where(F.col("snapshot_dt") == F.lit(day)), "id", "snapshot_dt", "updated_at", ["name", "address", "tier"])
+    return tuple(clean(x).select("id", "name", "address", "tier", "snapshot_dt") for x in days)
 
 
 @query("s10_change_feed", _TWO + """

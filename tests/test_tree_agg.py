@@ -16,7 +16,7 @@ def test_equals_plain_group_by_with_hot_key(spark, rounds):
     data = [("hot" if i % 3 else f"k{i % 50}", i if i % 7 else None, day + dt.timedelta(i % 11) if i % 5 else None, "x") for i in range(3000)]
     df = spark.createDataFrame([*data, (None, 1, None, "x")], SCHEMA).repartition(9)
     states = {"rows": ("count", F.lit(1)), "n": ("count", F.col("v")), "total": ("sum", F.col("v")), "low": ("min", F.col("v")), "high": ("max", F.col("v"))}
-    got = tree_aggregate(df, {"k": F.col("k")}, states, ("days", F.col("d")), fan_in=2, chunk_rows=50, rounds=rounds)
+    got = tree_aggregate(df, {"k": F.col("k")}, states, ("days", F.col("d")), fan_in=2, rounds=rounds)
     want = df.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.count("v").alias("n"), F.sum("v").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"), F.countDistinct("d").alias("days"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
