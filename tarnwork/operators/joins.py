@@ -13,11 +13,12 @@ from tarnwork.operators.shaping import dedup_latest
 def salted_join(large: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salt: int = 8) -> DataFrame:
     """Join with the keys of the large side spread over ``salt`` sub-keys. inner, left, left_semi and left_anti only: others
     would repeat unmatched rows of the small side. Try AQE's skew join first. The salt is a hash of the row, so a task that
-    runs again gives the same rows."""
+    runs again gives the same rows. The copies of the small side are shuffled, never broadcast: Catalyst's estimate leaves them
+    out, so the driver would build a table of ``salt`` times the rows that it expects."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted {how} join would repeat rows")
     a = large.withColumn("__salt", F.pmod(F.xxhash64(*large.columns), F.lit(salt)).cast("int"))
-    b = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    b = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).hint("merge")
     return a.join(b, [*keys, "__salt"], how).drop("__salt")
 
 

@@ -25,6 +25,16 @@ def test_salting_changes_nothing(spark):
         assert rows(joins.salted_aggregate(a, ["k"], "v", kind)) == rows(a.groupBy("k").agg(f("v")))
 
 
+def test_salted_copies_are_never_broadcast(spark):
+    a = spark.range(200).selectExpr("id % 7 AS k", "id AS v")
+    b = spark.range(5).selectExpr("id AS k", "id * 10 AS w")
+    for small in (b, F.broadcast(b)):
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            got = joins.salted_join(a, small, ["k"], how)
+            assert rows(got) == rows(a.join(b, "k", how))
+            assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_as_of_ties_nulls_and_clashing_names(spark):
     l = spark.createDataFrame([(1, 5, "a"), (1, 3, "b"), (2, 9, "c"), (None, 9, "d")], "k int, t int, v string")
     r = spark.createDataFrame([(1, 3, "r3"), (1, 5, "r5"), (1, 5, "r5b"), (2, 10, "late"), (None, 1, "n")], "k int, t int, v string")
